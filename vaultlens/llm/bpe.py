@@ -166,18 +166,16 @@ class Bpe:
 
 
 class Digests:
-    """Counts and digests of texts; each word's written ids and tokens are made once while the worker remembers them.
-
-    When the table of words is full it becomes the old one, from which words in use move on to the new table.
-    """
+    """Counts and digests of texts; the written ids and tokens of a run without white space are made once while the
+    worker remembers them. When the table of runs is full it becomes the old one, from which those in use move on to the new one."""
 
     def __init__(self, bpe: Bpe) -> None:
         self.bpe = bpe
         self.words: dict[str, tuple[str, str, int]] = {}
         self.old: dict[str, tuple[str, str, int]] = {}
 
-    def _made(self, word: str) -> tuple[str, str, int]:
-        ids = self.bpe.encode_word(self.bpe.spelled(word))
+    def _made(self, run: str) -> tuple[str, str, int]:
+        ids = [i for w in _FAST.findall(run) for i in self.bpe.encode_word(self.bpe.spelled(w))]
         return " ".join(map(str, ids)), self.bpe.decode(ids), len(ids)
 
     def _learn(self, words: list[str]) -> None:
@@ -199,10 +197,10 @@ class Digests:
                 toks.append(part)
                 n += 1
             elif bpe.plain(part):
-                words = _FAST.findall(part.lower())
-                self._learn(words)
-                if words:
-                    a, b, c = zip(*map(self.words.__getitem__, words), strict=True)
+                runs = part.lower().split()  # no word holds white space, so runs without it can be encoded alone
+                self._learn(runs)
+                if runs:
+                    a, b, c = zip(*map(self.words.__getitem__, runs), strict=True)
                     ids += a
                     toks += b
                     n += sum(c)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultlens.llm import bpe, chat, quality, simhash, sql, urlfilter
+from vaultlens.llm import bpe, chat, langid, quality, simhash, sql, tokenbin, urlfilter
 from vaultlens.llm.common import ship, table
 
 #: Production rules of op8.
@@ -44,14 +44,26 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("ts").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = langid.fit(docs.where(~held_out), bpe.vocabulary_path("piece_bpe_32k.model"))
+    return langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.url_verdicts(spark, pages, "url", URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenbin.read_tokens(tokenbin.write_tokens(docs, bpe.vocabulary_path("byte_bpe_50k.json"), vocabulary=50_257, end_id=0))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_bpe, op4_chat_format, op8_url_filter)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_bpe, op4_chat_format, op5_language_id, op8_url_filter, op9_token_binary)}
 
 
 def oracle_sql() -> dict[str, str]:
