@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultlens.llm import bpe, chat, langid, quality, simhash, sql, tokenbin, urlfilter
+from vaultlens.llm import bpe, chat, decontam, langid, linededup, quality, simhash, sql, tokenbin, urlfilter
 from vaultlens.llm.common import ship, table
 
 #: Production rules of op8.
@@ -51,6 +51,17 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return decontam.contained(docs, items).select("doc_id", "item_id", F.col("n_shared").cast("long").alias("n_shared"), F.col("n_item").cast("long").alias("n_item"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -63,7 +74,7 @@ def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_bpe, op4_chat_format, op5_language_id, op8_url_filter, op9_token_binary)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_bpe, op4_chat_format, op5_language_id, op6_line_dedup, op7_decontamination, op8_url_filter, op9_token_binary)}
 
 
 def oracle_sql() -> dict[str, str]:

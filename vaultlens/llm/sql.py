@@ -44,6 +44,32 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM o GROUP BY conv_id"""
 
 
+def op6(docs: str = "documents") -> str:
+    """Brute force over distinct lines: all lines, with each word left out in turn, as whole texts."""
+    return rf"""
+WITH l AS (SELECT doc_id, i, line, regexp_extract_all(line, '{WORD}') AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM {docs})),
+f AS (SELECT w, min((doc_id, i)) AS p FROM l WHERE len(w) > 0 GROUP BY w),
+x AS (SELECT w, p, k, array_to_string(w[:k - 1] || w[k + 1:], ' ') AS v FROM (SELECT w, p, unnest(range(1, len(w) + 1)) AS k FROM f)),
+g AS (SELECT w FROM x JOIN (SELECT v, k, min(p) AS first FROM x GROUP BY v, k) USING (v, k) WHERE len(w) >= 5 AND first < p
+      UNION SELECT f.w FROM f JOIN x ON array_to_string(f.w, ' ') = x.v WHERE x.p < f.p AND len(x.w) >= 5
+      UNION SELECT x.w FROM f JOIN x ON array_to_string(f.w, ' ') = x.v WHERE f.p < x.p AND len(x.w) >= 5),
+r AS (SELECT doc_id, i FROM l JOIN f USING (w) WHERE (doc_id, i) <> p OR w IN (SELECT w FROM g)),
+o AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) FILTER (r.i IS NULL) AS text, count(*) FILTER (len(w) > 0) AS n_lines, count(r.i) AS n_removed
+      FROM l LEFT JOIN r ON l.doc_id = r.doc_id AND l.i = r.i GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed FROM {docs} d LEFT JOIN o USING (doc_id)"""
+
+
+def op7() -> str:
+    return rf"""
+WITH i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM benchmark),
+s AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM i WHERE len(w) > 0)),
+n AS (SELECT item_id, count(*) AS n_item FROM s GROUP BY item_id),
+d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+t AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM d WHERE len(w) > 0)),
+c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM s JOIN t USING (g) GROUP BY ALL)
+SELECT doc_id, item_id, n_shared, n_item FROM c JOIN n USING (item_id) WHERE 5 * n_shared >= 4 * n_item"""
+
+
 def op8() -> str:
     return r"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -55,4 +81,4 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM h LEFT JO
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": op1(), "op4_chat_format": op4(), "op8_url_filter": op8()}
+    return {"op1_quality_rules": op1(), "op4_chat_format": op4(), "op6_line_dedup": op6(), "op7_decontamination": op7(), "op8_url_filter": op8()}
