@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultlens.llm import bpe, chat, decontam, langid, linededup, quality, simhash, sql, tokenbin, urlfilter
+from vaultlens.llm import bpe, chat, decontam, langid, linededup, quality, simhash, sql, tokenbin, toxicity, urlfilter
 from vaultlens.llm.common import ship, table
 
 #: Production rules of op8.
@@ -73,8 +73,16 @@ def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read_tokens(tokenbin.write_tokens(docs, bpe.vocabulary_path("byte_bpe_50k.json"), vocabulary=50_257, end_id=0))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = toxicity.score_texts(docs, model).withColumn("held_out", held_out)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_bpe, op4_chat_format, op5_language_id, op6_line_dedup, op7_decontamination, op8_url_filter, op9_token_binary)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_bpe, op4_chat_format, op5_language_id, op6_line_dedup, op7_decontamination, op8_url_filter, op9_token_binary, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
