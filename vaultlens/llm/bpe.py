@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,6 +34,8 @@ from vaultlens.llm.common import ship
 #: Words and token pairs that a worker remembers.
 CACHE_WORDS = 250_000
 CACHE_PAIRS = 500_000
+#: Letters of text whose new words are encoded together.
+AHEAD = 8_000_000
 #: The parts of the splitting pattern; letters and marks here are those of PLAIN texts.
 _PLAIN = "\\t\\n\\r -~\\u00a1-\\u00ac\\u00ae-\\u00b1\\u00b4\\u00b6-\\u00b8\\u00bb\\u00bf-\\u017e\\u2010-\\u2027\\u2030-\\u203a\\u20ac"
 _NOT_PLAIN = re.compile(f"[^{_PLAIN}]")
@@ -70,15 +72,15 @@ class Bpe:
             if ab not in self.parts:
                 self.parts[ab] = (a, b)
                 self.made[ab] = rank
-        self.longest = max(len(t) - (len(self.end) if self.end and t.endswith(self.end) else 0) for t in self.vocab)
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         # Tokens that their own text is encoded to; single symbols are, others if their two parts meet at last.
         self.whole = {t for t in self.tokens if t not in self.parts}
         for t in sorted(self.parts, key=self.made.get):
             a, b = self.parts[t]
             if a in self.whole and b in self.whole and self._meets(a, b, self.made[t]):
                 self.whole.add(t)
+        self.automata = self._suffixes()
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -103,33 +105,73 @@ class Bpe:
             else:
                 y_taken, y = at_y, parts[y][0]
 
-    def compatible(self, a: int, b: int) -> bool:
-        known = self._pairs.get((a, b))
-        if known is None:
-            if len(self._pairs) >= CACHE_PAIRS:
-                self._pairs.clear()
-            known = self._pairs[a, b] = self._meets(a, b)
-        return known
+    def _suffixes(self) -> tuple[dict, dict]:
+        """Automata over reversed tokens, for places inside a word and for its end; key "" holds the token's id."""
+        inner: dict = {}
+        final: dict = {}
+        for t in self.whole:
+            text = self.tokens[t]
+            if self.special.get(text) == t:
+                continue
+            root = inner
+            if self.end and text.endswith(self.end):
+                root, text = final, text[: -len(self.end)]
+            elif not self.end:
+                root = inner
+            node = root
+            for c in reversed(text):
+                node = node.setdefault(c, {})
+            node[""] = t
+        return inner, final if self.end else inner
+
+    def encode_words(self, words: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of words that are given as byte letters. Sorted words go faster: what is known of a common start is kept."""
+        last, size, before = [-1], [0], ""
+        pairs, meets, (inner, final) = self._pairs, self._meets, self.automata
+        for s in words:
+            n, k = len(s), 0
+            most = min(n, len(before)) - 1  # the end's symbol is another one than the same letter inside a word
+            while k < most and s[k] == before[k]:
+                k += 1
+            del last[k + 1 :], size[k + 1 :]
+            before = s
+            for j in range(k + 1, n + 1):
+                node, i = (final if j == n else inner), j
+                found = []
+                while i:
+                    i -= 1
+                    node = node.get(s[i])
+                    if node is None:
+                        break
+                    t = node.get("")
+                    if t is not None and last[i] != -2:
+                        found.append((i, t))
+                got = -2
+                for i, t in reversed(found):
+                    if not i:
+                        got = t
+                        break
+                    a = last[i]
+                    key = a << 17 | t
+                    ok = pairs.get(key)
+                    if ok is None:
+                        if len(pairs) >= CACHE_PAIRS:
+                            pairs.clear()
+                        ok = pairs[key] = meets(a, t)
+                    if ok:
+                        got = t
+                        break
+                last.append(got)
+                size.append(j - i)
+            out, j = [], n
+            while j:
+                out.append(last[j])
+                j -= size[j]
+            out.reverse()
+            yield out
 
     def encode_word(self, s: str) -> list[int]:
-        """Ids of a word that is given as byte letters."""
-        n, vocab, whole, longest = len(s), self.vocab, self.whole, self.longest
-        last: list[int] = [-1] * (n + 1)
-        size: list[int] = [0] * (n + 1)
-        for j in range(1, n + 1):
-            tail = self.end if j == n else ""
-            for i in range(max(0, j - longest), j):
-                t = vocab.get(s[i:j] + tail)
-                if t is None or t not in whole or (i and last[i] < 0):
-                    continue
-                if i == 0 or self.compatible(last[i], t):
-                    last[j], size[j] = t, j - i
-                    break
-        out, j = [], n
-        while j:
-            out.append(last[j])
-            j -= size[j]
-        return out[::-1]
+        return next(self.encode_words([s]))
 
     def spelled(self, word: str) -> str:
         return "".join(map(self.table.__getitem__, word.encode("utf-8")))
@@ -174,18 +216,37 @@ class Digests:
         self.words: dict[str, tuple[str, str, int]] = {}
         self.old: dict[str, tuple[str, str, int]] = {}
 
-    def _made(self, run: str) -> tuple[str, str, int]:
-        ids = [i for w in _FAST.findall(run) for i in self.bpe.encode_word(self.bpe.spelled(w))]
-        return " ".join(map(str, ids)), self.bpe.decode(ids), len(ids)
-
-    def _learn(self, words: list[str]) -> None:
-        new = set(words).difference(self.words)
+    def _learn(self, runs: Iterable[str]) -> None:
+        """Runs are split into words, and all new words are encoded in sorted order."""
+        new = set(runs).difference(self.words)
+        if not new:
+            return
         if len(self.words) + len(new) > CACHE_WORDS:
             self.old, self.words = self.words, {}
-            new = set(words)
-        old = self.old
-        for w in new:
-            self.words[w] = old.get(w) or self._made(w)
+            new = set(runs)
+        old, bpe = self.old, self.bpe
+        for r in [r for r in new if r in old]:
+            self.words[r] = old[r]
+            new.discard(r)
+        split = {r: [bpe.spelled(w) for w in _FAST.findall(r)] for r in new}
+        words = sorted({w for ws in split.values() for w in ws})
+        known = {w: (" ".join(map(str, ids)), bpe.decode(ids), len(ids)) for w, ids in zip(words, bpe.encode_words(words), strict=True)}
+        for r, ws in split.items():
+            got = [known[w] for w in ws]
+            self.words[r] = got[0] if len(got) == 1 else (" ".join(g[0] for g in got), " ".join(g[1] for g in got), sum(g[2] for g in got))
+
+    def batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """of() for many texts, whose new runs are learned together, at most some AHEAD letters at a time."""
+        out: list[tuple[int, str, str]] = []
+        first = held = 0
+        for k, t in enumerate(texts):
+            held += len(t)
+            if held >= AHEAD or k + 1 == len(texts):
+                plain = [p for x in texts[first : k + 1] for p in self.bpe.segments(x) if p not in self.bpe.special and self.bpe.plain(p)]
+                self._learn({r for p in plain for r in p.lower().split()})
+                out += map(self.of, texts[first : k + 1])
+                first, held = k + 1, 0
+        return out
 
     def of(self, text: str) -> tuple[int, str, str]:
         bpe, n = self.bpe, 0
@@ -254,9 +315,9 @@ def encoding_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        of = _digests(path).of
+        batch = _digests(path).batch
         for texts in parts:
-            yield pd.DataFrame([of(t or "") for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pd.DataFrame(batch([t or "" for t in texts]), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     name = "_digest"
     return docs.select(F.col(doc_id), digest(F.col(text)).alias(name)).select(doc_id, f"{name}.*")
