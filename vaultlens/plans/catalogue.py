@@ -368,26 +368,26 @@ def page_dictionary(spark, sf_dir):
 
 _REGIONS = """r AS (SELECT user_id AS inode_id, o AS "offset", least(coalesce(lead(o) OVER (PARTITION BY user_id ORDER BY o) - o, 3600000), 3600000) AS length, (e % 4)::INTEGER AS partition_index
 FROM (SELECT user_id, epoch_us(ts) // 1000 AS o, min(event_id) AS e FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2)),
-p AS (SELECT event_id, user_id AS inode_id, epoch_us(ts) // 1000 AS at FROM events WHERE event_id % 3 <> 0)"""
+p AS (SELECT event_id, user_id AS inode_id, epoch_us(ts) // 1000 AS "at" FROM events WHERE event_id % 3 <> 0)"""
 _HOUR = 3_600_000
 
 
-@registered(f'WITH {_REGIONS} SELECT event_id, p.inode_id, at, "offset", length, partition_index FROM p JOIN r ON p.inode_id = r.inode_id AND at >= "offset" AND at < "offset" + length')
+@registered(f'WITH {_REGIONS} SELECT event_id, p.inode_id, "at", "offset", length, partition_index FROM p JOIN r ON p.inode_id = r.inode_id AND "at" >= "offset" AND "at" < "offset" + length')
 def range_lookup(spark, sf_dir):
     return intervals.locate(model.points(spark, sf_dir), model.regions(spark, sf_dir), _HOUR)
 
 
-@registered(f'WITH {_REGIONS} SELECT event_id, inode_id, at FROM p WHERE NOT EXISTS (SELECT 1 FROM r WHERE p.inode_id = r.inode_id AND at >= "offset" AND at < "offset" + length)')
+@registered(f'WITH {_REGIONS} SELECT event_id, inode_id, "at" FROM p WHERE NOT EXISTS (SELECT 1 FROM r WHERE p.inode_id = r.inode_id AND "at" >= "offset" AND "at" < "offset" + length)')
 def outside_regions(spark, sf_dir):
     return intervals.outside(model.points(spark, sf_dir), model.regions(spark, sf_dir), _HOUR)
 
 
-@registered(f'WITH {_REGIONS} SELECT event_id, p.inode_id, at, "offset", length, partition_index FROM p ASOF LEFT JOIN r ON p.inode_id = r.inode_id AND p.at >= r."offset"')
+@registered(f'WITH {_REGIONS} SELECT event_id, p.inode_id, "at", coalesce("offset", -1) AS "offset", coalesce(length, -1) AS length, coalesce(partition_index, -1) AS partition_index FROM p ASOF LEFT JOIN r ON p.inode_id = r.inode_id AND p."at" >= r."offset"')
 def as_of_lookup(spark, sf_dir):
-    return intervals.as_of(model.points(spark, sf_dir), model.regions(spark, sf_dir))
+    return intervals.as_of(model.points(spark, sf_dir), model.regions(spark, sf_dir)).na.fill(-1)
 
 
-@registered(f'WITH {_REGIONS} SELECT event_id, p.inode_id, at, coalesce(partition_index, 0) AS partition_index FROM p LEFT JOIN r ON p.inode_id = r.inode_id AND at >= "offset" AND at < "offset" + length')
+@registered(f'WITH {_REGIONS} SELECT event_id, p.inode_id, "at", coalesce(partition_index, 0) AS partition_index FROM p LEFT JOIN r ON p.inode_id = r.inode_id AND "at" >= "offset" AND "at" < "offset" + length')
 def partition_lookup(spark, sf_dir):
     return intervals.partition_or_first(model.points(spark, sf_dir), model.regions(spark, sf_dir), _HOUR).select("event_id", "inode_id", "at", "partition_index")
 
