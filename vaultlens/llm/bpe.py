@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from vaultlens.llm.common import ship
 
 #: Words and token pairs that a worker remembers.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 450_000
 CACHE_PAIRS = 500_000
 #: Letters of text whose new words are encoded together.
 AHEAD = 8_000_000

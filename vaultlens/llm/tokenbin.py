@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from vaultlens.llm.common import cut, shared_dir, ship
 MAGIC = b"VLTOK001"
 BLOCK = 4096
 #: Runs of text that a worker remembers the ids of, in each of two tables.
-CACHE_RUNS = 250_000
+CACHE_RUNS = 700_000
 _HEAD = struct.Struct("<8sII")
 _TAIL = struct.Struct("<QQQQ8s")
 _NULL_ID = -(1 << 63)
@@ -154,16 +155,18 @@ class Encoder:
     def _ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, runs: list[str]) -> None:
-        new = set(runs).difference(self.runs)
+    def _learn(self, new: list[str]) -> None:
         if len(self.runs) + len(new) > CACHE_RUNS:
             self.old, self.runs = self.runs, {}
-            new = set(runs)
-        known = {r: self.old[r] for r in new if r in self.old}
-        self.runs |= known
-        ask = [r for r in new if r not in known]
+        ask = []
+        for r in new:
+            known = self.old.get(r)
+            if known is None:
+                ask.append(r)
+            else:
+                self.runs[r] = known
         for r, e in zip(ask, self.library.encode_batch_fast(ask, add_special_tokens=False), strict=True):
-            self.runs[r] = np.array(e.ids, "<u4").tobytes()
+            self.runs[r] = array("I", e.ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -171,8 +174,13 @@ class Encoder:
         if _NOT_PLAIN.search(text) or any(t in text for t in self.special) or any(c in text for c in _CROWDED):
             return self._ids(text)
         runs = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-        self._learn(runs)
-        return b"".join(map(self.runs.__getitem__, runs))
+        ids = list(map(self.runs.get, runs))
+        if None in ids:
+            lost = [k for k, x in enumerate(ids) if x is None]
+            self._learn(list({runs[k] for k in lost}))
+            for k in lost:
+                ids[k] = self.runs[runs[k]]
+        return b"".join(ids)
 
 
 _ENCODERS: dict[str, Encoder] = {}
