@@ -159,7 +159,7 @@ def cd_rebuilt(cd_map: DataFrame, data: DataFrame, prefixes: DataFrame, suffixes
     none = F.lit("").cast("binary")
     head = F.when(F.col("generated_prefix"), cd_prefix(F.col("sector"), F.when(F.col("mode") == 1, 1).otherwise(2))).otherwise(F.coalesce("p", none))
     raw = F.concat(head, F.coalesce("subheader", none), F.col("u"), F.coalesce("s", none))
-    places = last.select("inode_id", F.explode(F.sequence(F.lit(0), F.col("sectors") - 1)).cast("long").alias("sector"))
+    places = last.select("inode_id", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("sectors") - 1).cast("long"))).alias("sector"))
     return places.join(rows.select("inode_id", "sector", raw.alias("raw")), ["inode_id", "sector"], "left").select("inode_id", "sector", F.coalesce("raw", zeros).alias("data"))
 
 
