@@ -30,80 +30,112 @@ MAX_LANGS = 64
 ROUNDS = 3
 #: Different words of the sample that the fit sees: the most frequent of each language. Scoring has no such bound.
 FIT_WORDS = 10_000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 600_000
+#: Words whose lattices are laid out together.
+TOGETHER = 20_000
 #: Letters of a word scored at a time; longer words are scored as consecutive parts of so many letters.
 PART = 24
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+class Pieces:
+    """The vocabulary as sorted 64-bit hashes with a filter in front, so that all substrings of many words are looked up at once."""
+
+    BASE, MIX, BITS = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), np.uint64(44)
+
+    def __init__(self, pieces: list[str]) -> None:
+        self.pieces = pieces
+        self.longest = min(PART, max(map(len, pieces), default=1))
+        self.powers = [np.uint64(1)]
+        with np.errstate(over="ignore"):
+            for _ in range(PART):
+                self.powers.append(self.powers[-1] * self.BASE)
+            self.by_length = {}
+            for n in range(1, self.longest + 1):
+                own = [k for k, p in enumerate(pieces) if len(p) == n]
+                if not own:
+                    continue
+                codes = np.array([pieces[k] for k in own], dtype=f"U{n}").view(np.uint32).reshape(-1, n).astype(np.uint64)
+                h = np.zeros(len(own), np.uint64)
+                for k in range(n):
+                    h = h * self.BASE + codes[:, k]
+                order = np.argsort(h)
+                there = np.zeros(1 << 20, bool)
+                there[(h * self.MIX) >> self.BITS] = True
+                self.by_length[n] = (h[order], np.array(own)[order] + 1, there)
+
+    def matches(self, words: list[str]) -> tuple[np.ndarray, dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]]:
+        """Lengths of the words, and for each (end, length) the words and pieces that match there; piece 0 is any other letter."""
+        size = np.array([len(w) for w in words], np.int64)
+        codes = np.array(words, dtype=f"U{PART}").view(np.uint32).reshape(-1, PART).astype(np.uint64)
+        out = {}
+        with np.errstate(over="ignore"):
+            sums = np.zeros((len(words), PART + 1), np.uint64)
+            for k in range(PART):
+                sums[:, k + 1] = sums[:, k] * self.BASE + codes[:, k]
+            for n in range(1, self.longest + 1):
+                table = self.by_length.get(n)
+                for j in range(n, int(size.max(initial=0)) + 1):
+                    inside = np.flatnonzero(size >= j)
+                    if table is None and n > 1:
+                        continue
+                    piece = np.zeros(len(inside), np.int64)
+                    if table is not None:
+                        hashes, ids, there = table
+                        h = sums[inside, j] - sums[inside, j - n] * self.powers[n]
+                        maybe = np.flatnonzero(there[(h * self.MIX) >> self.BITS])
+                        at = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
+                        piece[maybe] = np.where(hashes[at] == h[maybe], ids[at], 0)
+                    keep = np.arange(len(inside)) if n == 1 else np.flatnonzero(piece)
+                    if len(keep):
+                        out[j, n] = (inside[keep], piece[keep])
+        return size, out
+
+
 class Lattice:
-    """All piece matches of a list of words, ordered by where they end."""
-
-    def __init__(self, words: list[str], pieces: dict[str, int], longest: int) -> None:
-        rows: list[list[tuple[int, int, int]]] = [[] for _ in range(PART + 2)]
-        get = pieces.get
-        for w, word in enumerate(words):
-            n = len(word)
-            for j in range(1, n + 1):
-                found = False
-                for i in range(max(0, j - longest), j):
-                    p = get(word[i:j])
-                    if p is not None:
-                        rows[j].append((w, i, p))
-                        found = found or i == j - 1
-                if not found:
-                    rows[j].append((w, j - 1, 0))
-        self.ends = [np.array(r, np.int64).reshape(-1, 3) for r in rows]
-        self.length = np.array([len(w) for w in words], np.int64)
+    """All ways to cut a list of words (of PART letters at most) into pieces."""
+
+    def __init__(self, words: list[str], pieces: Pieces) -> None:
+        self.size, self.at = pieces.matches(words)
+        self.order = sorted(self.at)
 
     def forward(self, prob: np.ndarray) -> np.ndarray:
         """alpha[word, place, language]."""
-        alpha = np.zeros((len(self.length), PART + 2, prob.shape[1]))
+        alpha = np.zeros((len(self.size), PART + 1, prob.shape[1]))
         alpha[:, 0] = 1
-        for j, m in enumerate(self.ends):
-            if len(m):
-                self._add(alpha[:, j], m[:, 0], alpha[m[:, 0], m[:, 1]] * prob[m[:, 2]])
+        for j, n in self.order:
+            w, p = self.at[j, n]
+            alpha[w, j] += alpha[w, j - n] * prob[p]
         return alpha
 
-    @staticmethod
-    def _add(out: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
-        for k in range(values.shape[1]):
-            out[:, k] += np.bincount(at, values[:, k], len(out))
-
     def totals(self, prob: np.ndarray) -> np.ndarray:
-        return self.forward(prob)[np.arange(len(self.length)), self.length]
+        return self.forward(prob)[np.arange(len(self.size)), self.size]
 
     def expected(self, prob: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected piece counts, with counts[word, language] words."""
         alpha = self.forward(prob)
-        rows = np.arange(len(self.length))
-        total = alpha[rows, self.length]
+        rows = np.arange(len(self.size))
+        total = alpha[rows, self.size]
         beta = np.zeros_like(alpha)
-        beta[rows, self.length] = 1
+        beta[rows, self.size] = np.divide(counts, total, out=np.zeros_like(total), where=total > 0)
         out = np.zeros_like(prob)
-        weight = np.divide(counts, total, out=np.zeros_like(total), where=total > 0)
-        for j in range(len(self.ends) - 1, 0, -1):
-            m = self.ends[j]
-            if len(m):
-                w, i, p = m.T
-                after = beta[w, j] * prob[p]
-                self._add(out, p, alpha[w, i] * after * weight[w])
-                for k in range(prob.shape[1]):
-                    np.add.at(beta[:, :, k], (w, i), after[:, k])
+        for j, n in reversed(self.order):
+            w, p = self.at[j, n]
+            after = beta[w, j] * prob[p]
+            gain = alpha[w, j - n] * after
+            for k in range(prob.shape[1]):
+                out[:, k] += np.bincount(p, gain[:, k], len(out))
+            beta[w, j - n] += after
         return out
 
 
-def vocabulary(path: str) -> dict[str, int]:
-    """Pieces without their word-start mark, lower case, letters only; 0 stands for any other letter."""
+def vocabulary(path: str) -> list[str]:
+    """Pieces without their word-start mark, lower case, of letters only and PART of them at most."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    out: dict[str, int] = {}
-    for i in range(sp.get_piece_size()):
-        p = sp.id_to_piece(i).lstrip("▁").lower()
-        if p.isalpha() and p not in out:
-            out[p] = len(out) + 1
-    return out
+    every = (sp.id_to_piece(i).lstrip("▁").lower() for i in range(sp.get_piece_size()))
+    return list(dict.fromkeys(p for p in every if p.isalpha() and len(p) <= PART))
 
 
 def parts(word: str) -> list[str]:
@@ -111,71 +143,76 @@ def parts(word: str) -> list[str]:
 
 
 class Model:
-    def __init__(self, langs: list[str], pieces: dict[str, int], prob: np.ndarray) -> None:
-        self.langs, self.pieces, self.prob = langs, pieces, prob
-        self.longest = max(map(len, pieces), default=1)
+    def __init__(self, langs: list[str], pieces: list[str], prob: np.ndarray) -> None:
+        self.langs, self.prob, self.pieces = langs, prob, Pieces(pieces)
         self.known: dict[str, int] = {}
         self.scores = np.zeros((0, len(langs)))
 
     def __getstate__(self):
-        return self.langs, self.pieces, self.prob
+        return self.langs, self.pieces.pieces, self.prob
 
     def __setstate__(self, state) -> None:
         self.__init__(*state)
 
-    def words(self, text: str) -> list[str]:
+    @staticmethod
+    def words(text: str) -> list[str]:
         return _WORD.findall(text.lower())
 
     def log_probs(self, words: list[str]) -> np.ndarray:
-        cut = [p for w in words for p in parts(w)]
-        per = np.array([len(parts(w)) for w in words])
-        each = np.concatenate([np.log(Lattice(cut[k : k + 5000], self.pieces, self.longest).totals(self.prob) + 1e-300) for k in range(0, len(cut), 5000)])
-        return np.add.reduceat(each, np.concatenate(([0], np.cumsum(per)[:-1])))
-
-    def _runs(self, runs: list[str]) -> np.ndarray:
-        """Rows of the score table for runs without white space, which are scored once while they are remembered."""
-        new = [r for r in dict.fromkeys(runs) if r not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, self.scores = {}, np.zeros((0, len(self.langs)))
-            new = list(dict.fromkeys(runs))
-        if new:
-            words = [self.words(r) for r in new]
-            flat = [w for ws in words for w in ws]
-            rows = np.zeros((len(new), len(self.langs)))
-            if flat:
-                np.add.at(rows, np.repeat(np.arange(len(new)), [len(ws) for ws in words]), self.log_probs(flat))
-            for r in new:
-                self.known[r] = len(self.known)
-            self.scores = np.concatenate((self.scores, rows))
-        return np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs))
+        """One row for each word; different words are scored once."""
+        place: dict[str, int] = {}
+        cut = [[place.setdefault(p, len(place)) for p in parts(w)] for w in words]
+        each = np.zeros((len(place), len(self.langs)))
+        todo = list(place)
+        for k in range(0, len(todo), TOGETHER):
+            each[k : k + TOGETHER] = np.log(Lattice(todo[k : k + TOGETHER], self.pieces).totals(self.prob) + 1e-300)
+        flat = each[np.fromiter((i for c in cut for i in c), np.int64)]
+        return np.add.reduceat(flat, np.concatenate(([0], np.cumsum([len(c) for c in cut])[:-1])))
+
+    def _learn(self, new: list[str]) -> None:
+        """Runs without white space get a row of the score table; they are scored once while they are remembered."""
+        words = [self.words(r) for r in new]
+        flat = [w for ws in words for w in ws]
+        rows = np.zeros((len(new), len(self.langs)))
+        if flat:
+            sizes = np.array([len(ws) for ws in words])
+            some = np.flatnonzero(sizes)
+            rows[some] = np.add.reduceat(self.log_probs(flat), np.concatenate(([0], np.cumsum(sizes[some])[:-1])))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.scores = np.concatenate((self.scores, rows))
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """Log-probability of each text in each language."""
+        """Log-probability of each text in each language; texts are taken together up to some CACHE_WORDS / 2 runs."""
         out = np.zeros((len(texts), len(self.langs)))
-        group: list[str] = []
-        sizes: list[int] = []
-        first = 0
-
-        def flush(upto: int) -> None:
-            if group:
-                rows = self.scores_of(group)
-                np.add.at(out, np.repeat(np.arange(first, upto), sizes), rows)
-
+        first, held, group = 0, 0, []
         for k, t in enumerate(texts):
             runs = t.split()
-            group += runs
-            sizes.append(len(runs))
-            if len(group) > CACHE_WORDS // 2:
-                flush(k + 1)
-                group, sizes, first = [], [], k + 1
-        flush(len(texts))
+            if len(runs) > CACHE_WORDS // 2:  # one very long text
+                out[k] = sum(self._sums([runs[i : i + CACHE_WORDS // 2]])[0] for i in range(0, len(runs), CACHE_WORDS // 2))
+                runs = []
+            group.append(runs)
+            held += len(runs)
+            if held > CACHE_WORDS // 2 or k + 1 == len(texts):
+                out[first : k + 1] += self._sums(group)
+                first, held, group = k + 1, 0, []
         return out
 
-    def scores_of(self, runs: list[str]) -> np.ndarray:
-        if len(runs) <= CACHE_WORDS // 2:
-            at = self._runs(runs)
-            return self.scores[at]
-        return np.concatenate([self.scores_of(runs[k : k + CACHE_WORDS // 2]) for k in range(0, len(runs), CACHE_WORDS // 2)])
+    def _sums(self, group: list[list[str]]) -> np.ndarray:
+        flat = [r for runs in group for r in runs]
+        at = list(map(self.known.get, flat))
+        if None in at:
+            new = list({r for r, a in zip(flat, at, strict=True) if a is None})
+            if len(self.known) + len(new) > CACHE_WORDS:
+                self.known, self.scores = {}, np.zeros((0, len(self.langs)))
+                new = list(set(flat))
+            self._learn(new)
+            at = list(map(self.known.get, flat))
+        sizes = np.array([len(runs) for runs in group])
+        some = np.flatnonzero(sizes)
+        out = np.zeros((len(group), len(self.langs)))
+        if len(some):
+            out[some] = np.add.reduceat(self.scores[np.array(at, np.int64)], np.concatenate(([0], np.cumsum(sizes[some])[:-1])))
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         logs = self.score([t or "" for t in texts])
@@ -186,7 +223,7 @@ class Model:
         return [self.langs[b] if o else "und" for b, o in zip(best, ok, strict=True)], [float(s[b]) if o else 0.0 for s, b, o in zip(share, best, ok, strict=True)]
 
 
-def fit_counts(langs: list[str], counted: dict[str, dict[str, int]], pieces: dict[str, int], rounds: int = ROUNDS) -> Model:
+def fit_counts(langs: list[str], counted: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUNDS) -> Model:
     """counted: word counts by language."""
     words = sorted({p for of in counted.values() for w in of for p in parts(w)})
     place = {w: k for k, w in enumerate(words)}
@@ -197,7 +234,8 @@ def fit_counts(langs: list[str], counted: dict[str, dict[str, int]], pieces: dic
                 counts[place[p], k] += n
     size = len(pieces) + 1
     prob = np.full((size, len(langs)), 1 / size)
-    lattices = [(Lattice(words[k : k + 5000], pieces, max(map(len, pieces), default=1)), counts[k : k + 5000]) for k in range(0, len(words), 5000)]
+    known = Pieces(pieces)
+    lattices = [(Lattice(words[k : k + TOGETHER], known), counts[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)]
     for _ in range(rounds):
         expected = sum((x.expected(prob, c) for x, c in lattices), np.zeros_like(prob)) + 0.05
         prob = expected / expected.sum(axis=0)
