@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -49,6 +50,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: like cut(), for tables that are large or read column by column."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which sized() broadcasts; its rows hold a few numbers each, some 64 bytes in a worker's memory.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """df stored, counted, and marked for broadcast if it has at most `limit` rows; beyond that joins shuffle it."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if limit is None else limit) else df
+
+
 def trimmed(text: Column) -> Column:
     return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
 
@@ -60,13 +79,17 @@ def words(text: Column) -> Column:
 
 
 def single_spaced(text: Column) -> Column:
-    """The words joined by one space."""
-    return F.regexp_replace(trimmed(text), SPACE_RUN, " ")
+    """The words joined by one space. Texts that have them so already, as most lines do, are not searched by a pattern."""
+    odd = F.lit(False)
+    for run in ("  ", *SPACE_CHARS[1:]):
+        odd = odd | F.contains(text, F.lit(run))
+    t = trimmed(text)
+    return F.when(odd, F.regexp_replace(t, SPACE_RUN, " ")).otherwise(t)
 
 
 def n_words(spaced: Column) -> Column:
     """Words of a single_spaced() text."""
-    return F.when(spaced == "", 0).otherwise(F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1)
+    return F.when(spaced == "", 0).otherwise(F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1)
 
 
 def ascii_lower(text: Column) -> Column:
