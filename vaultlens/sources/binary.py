@@ -135,3 +135,17 @@ def disc_identity(images: DataFrame) -> DataFrame:
     version = F.conv(F.hex(F.substring(head, F.lit(8), F.lit(1))), 16, 10)
     pairs = {"GameID": text, "MakerCode": F.substring(text, F.lit(5), F.lit(2)), "DiscNumber": number, "DiscVersion": version, "Region": region}
     return images.select("path", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs.items()])).alias("p")).select("path", "p.key", "p.value")
+
+
+def region_map(data: bytes) -> list[tuple[int, int]]:
+    """First and last sectors of the plain regions that a disc's first sector lists (big-endian; 32 at most)."""
+    if len(data) < 8:
+        return []
+    count = min(struct.unpack_from(">I", data, 0)[0], 32)
+    at = [8 + 8 * k for k in range(count) if 16 + 8 * k <= len(data)]
+    return [struct.unpack_from(">II", data, k) for k in at]
+
+
+def physical(logical: DataFrame, table: DataFrame) -> DataFrame:
+    """logical sectors (inode_id, sector) with where a compressed image keeps them; table is (inode_id, sector, physical)."""
+    return logical.join(table, ["inode_id", "sector"])
