@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vaultlens.functions.lineage import cut
 from vaultlens.sources.model import ROOT
 
 MAX_DEPTH, MAX_PATH = 256, 4096
@@ -28,19 +29,20 @@ def first_entry(catalog: DataFrame) -> DataFrame:
 def paths(catalog: DataFrame, root: int = ROOT) -> DataFrame:
     """inode_id, path, depth of everything that hangs on the root.
 
-    The tree is walked level by level from the root down with equi-joins; the walk is as deep as the tree, at most
-    MAX_DEPTH. Directories are few beside files, so only they are walked; files are joined to their directory at the end.
+    Every directory starts with the step to its parent; each round joins the steps with themselves, which doubles them,
+    so a tree of depth 256 takes eight equi-joins. Files are joined to their directory once, at the end. Directories that
+    never reach the root (lost or in a circle) have no path.
     """
     named = first_entry(catalog).where(F.col("inode_id") != root)
-    folders = named.where("is_dir")
-    level = folders.sparkSession.range(1).select(F.lit(root).cast("long").alias("inode_id"), F.lit("").alias("path"), F.lit(0).alias("depth"))
-    level_rows, every = level, level
-    for depth in range(1, MAX_DEPTH + 1):
-        up = level_rows.select(F.col("inode_id").alias("parent_id"), F.col("path").alias("above"))
-        level_rows = folders.join(up, "parent_id").select("inode_id", F.concat("above", F.lit("/"), "name").alias("path"), F.lit(depth).alias("depth"))
-        if level_rows.isEmpty():
+    top = named.sparkSession.range(1).select(F.lit(root).cast("long").alias("inode_id"), F.lit(root).cast("long").alias("at"), F.lit("").alias("path"), F.lit(0).alias("depth"))
+    steps = named.where("is_dir").select("inode_id", F.col("parent_id").alias("at"), F.concat(F.lit("/"), "name").alias("path"), F.lit(1).alias("depth")).unionByName(top)
+    steps = cut(steps)
+    for _ in range(MAX_DEPTH.bit_length() - 1):
+        if steps.where(F.col("at") != root).isEmpty():
             break
-        every = every.unionByName(level_rows)
+        on = steps.select(F.col("inode_id").alias("at"), F.col("at").alias("_at"), F.col("path").alias("_path"), F.col("depth").alias("_depth"))
+        steps = cut(steps.join(on, "at").select("inode_id", F.col("_at").alias("at"), F.concat("_path", "path").alias("path"), (F.col("depth") + F.col("_depth")).alias("depth")))
+    every = steps.where(F.col("at") == root).select("inode_id", "path", "depth")
     up = every.select(F.col("inode_id").alias("parent_id"), F.col("path").alias("above"), (F.col("depth") + 1).alias("depth"))
     files = named.where("NOT is_dir").join(up, "parent_id").select("inode_id", F.concat("above", F.lit("/"), "name").alias("path"), "depth")
     whole = every.where(F.col("inode_id") != root).unionByName(files)

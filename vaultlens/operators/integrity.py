@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vaultlens.functions.lineage import cut
+
 
 def extent_faults(extents: DataFrame, blocks: int) -> DataFrame:
     """Extents that are wrong, and why; an unused slot (all zero) is fine."""
@@ -105,7 +107,7 @@ def relocation(moves: DataFrame) -> DataFrame:
     now = moves.select("old", "new")
     for _ in range(64):
         on = now.select(F.col("old").alias("_o"), F.col("new").alias("_n"))
-        step = now.join(on, F.col("new") == F.col("_o"), "left").select("old", F.coalesce("_n", "new").alias("new"), F.col("_n").isNotNull().alias("moved")).cache()
+        step = cut(now.join(on, F.col("new") == F.col("_o"), "left").select("old", F.coalesce("_n", "new").alias("new"), F.col("_n").isNotNull().alias("moved")))
         done = step.where("moved").isEmpty()
         now = step.select("old", "new")
         if done:
