@@ -7,8 +7,7 @@ embedding's first coordinate starts at a quarter of the class log-odds of its bu
 On a part of the sample set aside, a threshold is set for each language; scores are stretched so that a language's
 threshold stands at CUT. The language is guessed from the text's function words, never read from a column.
 
-Scoring keeps, for the words a worker remembers, the products of their embeddings with the filters' weights, so a text
-costs lookups, sums and maxima. The model's size is fixed (BUCKETS x DIM and the filters), and it is broadcast.
+Scoring keeps the embeddings of the words a worker remembers, so a text costs lookups, one matrix product and maxima. The model's size is fixed (BUCKETS x DIM and the filters), and it is broadcast.
 
 Defined results: null, empty and blank texts have no words, all features are 0, and they get the score of that; repeated
 rows are scored alike; with labels of one class only, or none, every score is 0; texts of any length are scored whole;
@@ -40,9 +39,11 @@ EPOCHS = 6
 BATCH = 32
 #: Where calibrated thresholds stand.
 CUT = 0.3
-CACHE_WORDS = 120_000
-#: Letters of the beginnings of words that are hashed beside whole words.
-STARTS = (3, 4, 5, 6, 7)
+CACHE_WORDS = 500_000
+#: Bytes of the beginnings of words that are hashed beside whole words.
+STARTS = (3, 4, 5, 6, 7, 8)
+#: Words looked up at a time.
+GROUP = 100_000
 #: Words laid out at a time.
 STRIDE = 100_000
 _EDGE = ".,;:!?\"'()[]*$%&#|<>-"
@@ -50,40 +51,47 @@ _PAD = BUCKETS
 
 
 class Lexicon:
-    """Words to rows, and the hashed parts of each row's word; row 0 is padding. It starts afresh when it is full."""
+    """Words to rows, and of each row the hashed parts of its word and the languages it is a function word of; row 0 is
+    padding. It starts afresh when it is full."""
+
+    LANGS = sorted(STOP_WORDS)
 
     def __init__(self, limit: int | None = None) -> None:
         self.limit, self.version = limit, 0
-        self.marks = {lang: frozenset(ws) for lang, ws in STOP_WORDS.items()}
+        self.function = {w: [int(w in STOP_WORDS[k]) for k in self.LANGS] for ws in STOP_WORDS.values() for w in ws}
         self.clear()
 
     def clear(self) -> None:
         self.version += 1
         self.known: dict[str, int] = {}
         self.subs = np.full((1, 1 + len(STARTS)), _PAD, np.int32)
+        self.marks = np.zeros((1, len(self.LANGS)), np.int32)
 
     @staticmethod
     def _parts(word: str) -> list[int]:
-        w = word.strip(_EDGE)
-        keys = [f"={w}" if w else ""] + [w[:k] if len(w) > k else "" for k in STARTS]
-        return [zlib.crc32(k.encode("utf-8", "surrogatepass")) % BUCKETS if k else _PAD for k in keys]
+        b = word.strip(_EDGE).encode("utf-8", "surrogatepass")
+        n, crc = len(b), zlib.crc32
+        return [crc(b, 1) % BUCKETS if n else _PAD] + [crc(b[:k]) % BUCKETS if n > k else _PAD for k in STARTS]
 
     def rows(self, words: list[str]) -> np.ndarray:
-        new = set(words).difference(self.known)
-        if new:
+        at = list(map(self.known.get, words))
+        if None in at:
+            new = list({w for w, a in zip(words, at, strict=True) if a is None})
             if self.limit and len(self.known) + len(new) > self.limit:
                 self.clear()
-                new = set(words)
+                new = list(set(words))
             start = len(self.subs)
             self.known.update(zip(new, range(start, start + len(new)), strict=True))
             self.subs = np.concatenate((self.subs, np.array([self._parts(w) for w in new], np.int32)))
-        return np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+            none = [0] * len(self.LANGS)
+            self.marks = np.concatenate((self.marks, np.array([self.function.get(w, none) for w in new], np.int32)))
+            at = list(map(self.known.get, words))
+        return np.array(at, np.int32)
 
-    def language(self, words: list[str]) -> str:
-        there = set(words)
-        hits = {lang: len(there & marks) for lang, marks in self.marks.items()}
-        best = max(hits, key=lambda k: (hits[k], k))
-        return best if hits[best] else ""
+    def languages(self, docs: list[np.ndarray]) -> list[str]:
+        """The language whose function words a document has most of; "" if it has none."""
+        hits = np.array([self.marks[d].sum(axis=0) for d in docs])
+        return [self.LANGS[int(h.argmax())] if h.any() else "" for h in hits]
 
 
 def laid_out(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,41 +120,43 @@ class Model:
     def embedded(self, subs: np.ndarray) -> np.ndarray:
         return self.emb[subs].sum(axis=1)
 
-    def tables(self, subs: np.ndarray) -> dict[int, list[np.ndarray]]:
-        """For each width and place in a filter, its products with the words' embeddings."""
-        e = self.embedded(subs)
-        return {w: [e @ self.filters[w][k] for k in range(w)] for w in WIDTHS}
+    def weights(self) -> np.ndarray:
+        """All filters side by side: the columns of a width's first place, its second, and so on."""
+        return np.concatenate([self.filters[w][k] for w in WIDTHS for k in range(w)], axis=1)
 
     @staticmethod
-    def responses(tables: dict[int, list[np.ndarray]], flat: np.ndarray, w: int) -> np.ndarray:
+    def responses(products: np.ndarray, w: int) -> np.ndarray:
         """One row for each place at which a window of w words can start."""
-        n = len(flat) - w + 1
-        out = tables[w][0][flat[:n]]
+        first = sum(v for v in WIDTHS if v < w) * FILTERS
+        n = len(products) - w + 1
+        out = products[:n, first : first + FILTERS].copy()
         for k in range(1, w):
-            out += tables[w][k][flat[k : k + n]]
+            out += products[k : k + n, first + k * FILTERS : first + (k + 1) * FILTERS]
         return out
 
-    def features(self, docs: list[np.ndarray], tables: dict[int, list[np.ndarray]]) -> np.ndarray:
+    def features(self, docs: list[np.ndarray], embedded: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """embedded: the embeddings of the lexicon's rows."""
         flat, edges = laid_out(docs)
+        products = embedded[flat] @ weights
         empty = edges[::2] == edges[1::2]
         out = []
         for w in WIDTHS:
-            top = np.maximum.reduceat(self.responses(tables, flat, w), edges, axis=0)[::2] + self.bias[w]
+            top = np.maximum.reduceat(self.responses(products, w), edges, axis=0)[::2] + self.bias[w]
             top[empty] = 0
             out.append(np.maximum(top, 0))
         return np.concatenate(out, axis=1)
 
-    def raw(self, docs: list[np.ndarray], tables: dict[int, list[np.ndarray]]) -> np.ndarray:
+    def raw(self, docs: list[np.ndarray], embedded: np.ndarray) -> np.ndarray:
         """Probability of each document; long ones go in parts that overlap by the widest filter."""
         feats = np.zeros((len(docs), len(WIDTHS) * FILTERS), np.float32)
         group: list[np.ndarray] = []
         owners: list[int] = []
-        held = 0
+        held, weights = 0, self.weights()
 
         def flush() -> None:
             nonlocal held
             if group:
-                np.maximum.at(feats, owners, self.features(group, tables))
+                np.maximum.at(feats, owners, self.features(group, embedded, weights))
             group.clear()
             owners.clear()
             held = 0
@@ -165,11 +175,12 @@ class Model:
         flat, edges = laid_out(docs)
         rows, flat = np.unique(flat, return_inverse=True)
         own = subs[rows]
-        tables, embedded = self.tables(own), self.embedded(own)
+        embedded = self.embedded(own)
+        products = (embedded @ self.weights())[flat]
         starts, ends = edges[::2], edges[1::2]
         feats, tops = [], {}
         for w in WIDTHS:
-            r = self.responses(tables, flat, w)
+            r = self.responses(products, w)
             best = np.array([s + r[s:e].argmax(axis=0) if e > s else np.full(FILTERS, s) for s, e in zip(starts, ends, strict=True)])
             value = np.take_along_axis(r, best, axis=0) + self.bias[w]
             value[ends == starts] = 0
@@ -233,7 +244,7 @@ class Model:
                 at = turn[k : k + BATCH]
                 self._step([docs[i] for i in at], subs, y[at], weight[at], sums, 0.05 / (1 + 0.5 * epoch))
         self.ready = True
-        p = self.raw([docs[i] for i in aside], self.tables(subs)) if len(aside) else np.zeros(0)
+        p = self.raw([docs[i] for i in aside], self.embedded(subs)) if len(aside) else np.zeros(0)
         of = np.array([langs[i] for i in aside], dtype=object)
         self.cuts = {"": self._threshold(p, y[aside], 0.5)}
         for lang in STOP_WORDS:
@@ -258,19 +269,20 @@ class Model:
 
 
 class Scorer:
-    """A model with the tables of the words it has met; both are bounded."""
+    """A model with the embeddings of the words it has met; both are bounded."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.lexicon = model, Lexicon(CACHE_WORDS)
-        self.version, self.tables = 0, {w: [np.zeros((0, FILTERS), np.float32)] * w for w in WIDTHS}
+        self.model, self.lexicon, self.weights = model, Lexicon(CACHE_WORDS), model.weights()
+        self.version, self.embedded = 0, np.zeros((0, DIM), np.float32)
 
-    def _grow(self) -> None:
-        have, want = len(self.tables[1][0]), len(self.lexicon.subs)
+    def _rows(self, words: list[str]) -> np.ndarray:
+        rows = self.lexicon.rows(words)
         if self.version != self.lexicon.version:
-            self.version, have = self.lexicon.version, 0
-        if have < want:
-            new = self.model.tables(self.lexicon.subs[have:])
-            self.tables = {w: [np.concatenate((t[:have], n)) for t, n in zip(self.tables[w], new[w], strict=True)] for w in WIDTHS}
+            self.version, self.embedded = self.lexicon.version, self.embedded[:0]
+        new = self.lexicon.subs[len(self.embedded) :]
+        if len(new):
+            self.embedded = np.concatenate((self.embedded, self.model.embedded(new)))
+        return rows
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not self.model.ready:
@@ -281,7 +293,7 @@ class Scorer:
         for k, t in enumerate(texts):
             group.append((t or "").lower().split())
             held += len(group[-1])
-            if held > CACHE_WORDS // 2 or k + 1 == len(texts):
+            if held > GROUP or k + 1 == len(texts):
                 out[first : k + 1] = self._group(group)
                 group, first, held = [], k + 1, 0
         return out
@@ -289,21 +301,21 @@ class Scorer:
     def _group(self, docs: list[list[str]]) -> np.ndarray:
         """One group's words are looked up together, so that its rows stay valid."""
         flat = [w for d in docs for w in d]
-        if len(flat) > CACHE_WORDS:  # one very long text: its words in parts, the features' maxima over all
+        if len(flat) > CACHE_WORDS:  # with a very long text: one by one, in parts
             return np.array([self._long(d) for d in docs])
-        rows = np.split(self.lexicon.rows(flat), np.cumsum([len(d) for d in docs])[:-1])
-        self._grow()
-        return self.model.stretched(self.model.raw(rows, self.tables).astype(float), [self.lexicon.language(d) for d in docs])
+        rows = np.split(self._rows(flat), np.cumsum([len(d) for d in docs])[:-1])
+        return self.model.stretched(self.model.raw(rows, self.embedded).astype(float), self.lexicon.languages(rows))
 
     def _long(self, words: list[str]) -> float:
-        m, best = self.model, None
-        for s in range(0, max(1, len(words)), STRIDE):
-            rows = self.lexicon.rows(words[s : s + STRIDE + max(WIDTHS) - 1])
-            self._grow()
-            f = m.features([rows], self.tables)[0]
-            best = f if best is None else np.maximum(best, f)
+        m = self.model
+        best = np.zeros(len(WIDTHS) * FILTERS, np.float32)
+        marks = np.zeros(len(Lexicon.LANGS), np.int64)
+        for s in range(0, len(words), STRIDE):
+            rows = self._rows(words[s : s + STRIDE + max(WIDTHS) - 1])
+            best = np.maximum(best, m.features([rows], self.embedded, self.weights)[0])
+            marks += self.lexicon.marks[rows[:STRIDE]].sum(axis=0)
         p = 1 / (1 + np.exp(-np.clip(best @ m.out + m.base, -30, 30)))
-        return float(m.stretched(np.array([float(p)]), [self.lexicon.language(words)])[0])
+        return float(m.stretched(np.array([float(p)]), [Lexicon.LANGS[int(marks.argmax())] if marks.any() else ""])[0])
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -325,7 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if len(set(y.tolist())) < 2:
         return model
     docs_rows = [lexicon.rows(ws) for ws in split]
-    model.fit(docs_rows, lexicon.subs, y, [lexicon.language(ws) for ws in split])
+    model.fit(docs_rows, lexicon.subs, y, lexicon.languages(docs_rows))
     return model
 
 
