@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vaultlens.llm.common import ascii_lower, cut, let, words
+from vaultlens.llm.common import ascii_lower, cut, let, sized, words
 
 WIDTH = 5
 THRESHOLD = (4, 5)
@@ -84,5 +84,5 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: s
 
 def decontaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that hold no item. A null id cannot be named by the search's result, so such documents stay."""
-    held = cut(contained(docs, items, doc_id, text, item_id, item_text).select(F.col("doc_id").alias("_held")).distinct())
+    held = sized(contained(docs, items, doc_id, text, item_id, item_text).select(F.col("doc_id").alias("_held")).distinct())
     return docs.join(held, F.col(doc_id) == F.col("_held"), "left_anti")

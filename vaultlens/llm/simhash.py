@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vaultlens.llm.common import cut, fresh, ship
+from vaultlens.llm.common import cut, fresh, ship, sized
 from vaultlens.llm.components import components
 
 MAX_BITS = 3
@@ -153,11 +153,16 @@ def hex16(fp: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component stays: that of the least id, and of rows that repeat that id the one with the least text."""
+    """One row of each component stays: that of the least id, and of rows that repeat that id the one with the least text.
+
+    What goes is joined, not what stays: it is the shorter list, and while it is short, texts are not shuffled.
+    """
     found = near_duplicates(docs, doc_id, text)
-    keep = cut(found.where(F.col("id").eqNullSafe(F.col("component"))).groupBy(F.col("id").alias("_kept")).agg(F.count(F.lit(1)).alias("_n")))
-    out = docs.join(keep.select("_kept"), F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi")
-    if keep.where("_n > 1").isEmpty():
+    stays = F.col("id").eqNullSafe(F.col("component"))
+    ids = cut(found.groupBy("id").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("n")).where("NOT stays OR n > 1"))
+    gone = sized(ids.where("NOT stays").select(F.col("id").alias("_gone")))
+    out = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
+    if ids.where("stays AND n > 1").isEmpty():
         return out
     place = fresh(docs, "_place")[0]
     first = Window.partitionBy(doc_id).orderBy(text, *[c for c in docs.columns if c not in (doc_id, text)])
