@@ -62,19 +62,19 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: s
     n = F.size("shingles")
     by_hash = F.sort_array(F.transform("shingles", lambda s: F.xxhash64(s)))
     sketch = F.slice(by_hash, F.lit(1), F.floor(n * (den - num) / den).cast("int") + 1)
-    sized = cut(sets.select("item_id", "shingles", n.alias("n"), F.floor(F.log2(n)).cast("int").alias("part"), sketch.alias("sketch")))
+    prepared = cut(sets.select("item_id", "shingles", n.alias("n"), F.floor(F.log2(n)).cast("int").alias("part"), sketch.alias("sketch")))
     # One bound of each size partition; sizes up to 2^31 make at most 32 partitions.
-    bounds = sized.groupBy("part").agg(F.max(F.element_at("sketch", -1)).alias("most"), F.sum(F.size("sketch")).alias("rows"), F.sum("n").alias("all")).collect()
+    bounds = prepared.groupBy("part").agg(F.max(F.element_at("sketch", -1)).alias("most"), F.sum(F.size("sketch")).alias("rows"), F.sum("n").alias("all")).collect()
     if not bounds:
-        return docs.select(F.col(doc_id).alias("doc_id"), F.lit(0).cast(sized.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("n_shared"), F.lit(0).alias("n_item")).limit(0)
+        return docs.select(F.col(doc_id).alias("doc_id"), F.lit(0).cast(prepared.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("n_shared"), F.lit(0).alias("n_item")).limit(0)
     most = max(b["most"] for b in bounds)
-    sketches = sized.select("item_id", F.explode("sketch").alias("h"))
+    sketches = prepared.select("item_id", F.explode("sketch").alias("h"))
     probes = docs.select(F.col(doc_id).alias("doc_id"), F.explode(_probes(F.col(text), most)).alias("h"))
     found = probes.join(_small(sketches, sum(b["rows"] for b in bounds)), "h").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("_"))
     # The documents that the search names; while they are few, no text is shuffled to verify them.
     listed = sized(found.groupBy("doc_id").agg(F.collect_set("item_id").alias("wanted")))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).join(listed, "doc_id")
-    exact = sized.select("item_id", "n", "shingles")
+    exact = prepared.select("item_id", "n", "shingles")
     pairs = texts.select("doc_id", F.explode("wanted").alias("item_id"), _shingles(F.col("t")).alias("held"))
     shared = F.size(F.array_intersect("held", "shingles"))
     out = pairs.join(_small(exact, sum(b["all"] for b in bounds)), "item_id").select("doc_id", "item_id", shared.alias("n_shared"), F.col("n").alias("n_item"))
