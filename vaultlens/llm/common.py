@@ -62,10 +62,14 @@ def stored(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 1_000_000
 
 
-def sized(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """df stored, counted, and marked for broadcast if it has at most `limit` rows; beyond that joins shuffle it."""
+def sized(df: DataFrame, limit: int | None = None, weight: Column | None = None) -> DataFrame:
+    """df stored, counted, and marked for broadcast if it has at most `limit` rows; beyond that joins shuffle it.
+
+    weight counts what a row of no fixed size holds, such as the members of an array, in units of 64 bytes.
+    """
     df = cut(df)
-    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if limit is None else limit) else df
+    n = df.count() if weight is None else df.agg(F.coalesce(F.sum(F.ceil(weight) + 1), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= (BROADCAST_ROWS if limit is None else limit) else df
 
 
 def trimmed(text: Column) -> Column:

@@ -72,7 +72,7 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: s
     probes = docs.select(F.col(doc_id).alias("doc_id"), F.explode(_probes(F.col(text), most)).alias("h"))
     found = probes.join(_small(sketches, sum(b["rows"] for b in bounds)), "h").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("_"))
     # The documents that the search names; while they are few, no text is shuffled to verify them.
-    listed = sized(found.groupBy("doc_id").agg(F.collect_set("item_id").alias("wanted")))
+    listed = sized(found.groupBy("doc_id").agg(F.collect_set("item_id").alias("wanted")), weight=F.size("wanted") / 4)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).join(listed, "doc_id")
     exact = prepared.select("item_id", "n", "shingles")
     pairs = texts.select("doc_id", F.explode("wanted").alias("item_id"), _shingles(F.col("t")).alias("held"))

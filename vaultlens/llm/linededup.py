@@ -35,8 +35,6 @@ from vaultlens.llm.common import SPACE_CHARS, fresh, let, n_words, single_spaced
 MIN_WORDS = 5
 #: Words hashed as one block.
 BLOCK = 32
-#: Documents with lines that go, up to which their lists of line numbers are broadcast.
-DOCS = 200_000
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -137,7 +135,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the lines that go, with n_lines (lines with a word before) and n_removed added."""
     d, gone, total, removed = fresh(docs, "_d", "_gone", "n_lines", "n_removed")
-    by_doc = sized(removals(docs, doc_id, text).groupBy("d").agg(F.collect_set("i").alias(gone)).withColumnRenamed("d", d), DOCS)
+    by_doc = sized(removals(docs, doc_id, text).groupBy("d").agg(F.collect_set("i").alias(gone)).withColumnRenamed("d", d), weight=F.size(gone) / 8)
     joined = docs.join(by_doc, F.col(doc_id).eqNullSafe(F.col(d)), "left").drop(d)
     # The places that stay are found with hash sets, so a text of many lines costs no more than its lines.
     lines = F.split(F.col(text), "\n")
