@@ -9,7 +9,7 @@ and is broadcast. Scoring goes over every whole text, row by row, without a shuf
 
 Defined results: null texts and texts without a letter are "und" with score 0; ties go to the first language in name
 order; rows without a language don't teach; if there is no labelled text every other text is "und" with score 0;
-repeated rows are scored alike; extra columns pass through.
+repeated rows are scored alike; extra columns pass through, and columns that have the results' names are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vaultlens.llm.common import ship
+from vaultlens.llm.common import fresh, ship
 
 #: Labelled texts of each language that the fit sees, as expected; languages it tells apart; rounds of the fit.
 SAMPLE_TEXTS = 1500
@@ -278,4 +278,5 @@ def identify(df: DataFrame, model: Model, text: Column | str = "text", pred: str
             yield pd.DataFrame({"lang": langs, "score": scores})
 
     col = F.col(text) if isinstance(text, str) else text
-    return df.withColumn("_judged", judge(col)).withColumns({pred: F.col("_judged.lang"), score: F.col("_judged.score")}).drop("_judged")
+    judged = fresh(df, "_judged")[0]
+    return df.withColumn(judged, judge(col)).withColumns({pred: F.col(judged)["lang"], score: F.col(judged)["score"]}).drop(judged)

@@ -22,7 +22,7 @@ a line of any length costs a number of operations linear in its words. Tables th
 places of lines, lines that go) are stored and counted; up to BROADCAST_ROWS they are broadcast, beyond that shuffled.
 
 Defined results: null and empty texts stay as they are; ties in place (repeated document ids) count as one place, so
-neither row loses the line; null ids sort first; an empty table gives an empty table; extra columns pass through.
+neither row loses the line, and of different lines at one place only the least is searched for near ones; null ids sort first; an empty table gives an empty table; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -141,5 +141,5 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     lines = F.split(F.col(text), "\n")
     keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     kept = let(lines, lambda ls: F.array_join(F.transform(keep, lambda i: F.get(ls, i)), "\n"))
-    with_word = F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""))
+    with_word = F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != ""))
     return joined.withColumns({total: F.coalesce(with_word, F.lit(0)).cast("long"), removed: F.coalesce(F.size(F.col(gone)), F.lit(0)).cast("long"), text: F.when(F.col(gone).isNull(), F.col(text)).otherwise(kept)}).drop(gone)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vaultlens.llm.common import fresh, let, words
+from vaultlens.llm.common import SPACE_CHARS, fresh, let, words
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = {
@@ -84,13 +84,13 @@ def measured(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, st
     """df with the measures of its text; the names they got."""
     names = dict(zip(("_w", "_l", *MEASURES), fresh(df, "_w", "_l", *MEASURES), strict=True))
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
+    lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
     stop = sorted({x for ws in STOP_WORDS.values() for x in ws})
     df = df.withColumns({names["_w"]: words(F.col(text)), names["_l"]: lines})
     w, lines = F.col(names["_w"]), F.col(names["_l"])
     out = {
         "n_words": F.size(w),
-        "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")),
+        "word_chars": F.length(F.translate(t, SPACE_CHARS, "")),
         "n_symbols": F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": _repeat_words(w),

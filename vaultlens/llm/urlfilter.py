@@ -4,7 +4,7 @@ The trie is shipped to the workers. Its size is the rule table's, not the corpus
 MAX_RULES and refuses larger tables instead of sending them. URLs are judged row by row, with no shuffle.
 
 Defined results: null URLs and those without "://" have an empty host and path and no rule; where no rule fits, the
-verdict is `default`; repeated rows are judged alike; extra columns pass through; of two entries for the same host
+verdict is `default`; repeated rows are judged alike; extra columns pass through (columns named host, path, rule or verdict are replaced); of two entries for the same host
 and path the later one counts; an empty rule table gives the default everywhere.
 """
 
@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vaultlens.llm.common import ascii_lower, fresh
+
 #: Rules above which the trie isn't broadcast (some 200 bytes each).
 MAX_RULES = 1_000_000
 
@@ -86,7 +88,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     whole = F.regexp_extract(rest, "(?s)^([^?#]*)", 1)
     host = F.substring_index(whole, "/", 1)
     path = F.substring(whole, F.length(host) + 1, F.length(whole))
-    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
+    return ascii_lower(host), path
 
 
 def url_verdicts(spark, df, url: str, rules: Iterable[UrlRule], default: str = "allow"):
@@ -101,5 +103,6 @@ def url_verdicts(spark, df, url: str, rules: Iterable[UrlRule], default: str = "
             yield pd.DataFrame({"rule": [f[0] if f else None for f in found], "verdict": [f[1] if f else default for f in found]}, dtype=object)
 
     host, path = host_and_path(F.col(url))
-    out = df.withColumns({"host": host, "path": path}).withColumn("_judged", judge("host", "path"))
-    return out.withColumns({"rule": F.col("_judged.rule"), "verdict": F.col("_judged.verdict")}).drop("_judged")
+    judged = fresh(df, "_judged")[0]
+    out = df.withColumns({"host": host, "path": path}).withColumn(judged, judge("host", "path"))
+    return out.withColumns({"rule": F.col(judged)["rule"], "verdict": F.col(judged)["verdict"]}).drop(judged)
