@@ -267,3 +267,18 @@ def test_streaming_ingest(spark, tmp_path):
     d, m = ingest.stored(spark, base)
     assert sorted(r.data for r in d.collect()) == ["abcd", "new!", "xy"]
     assert {r.inode_id: r.data for r in sectors.rebuilt(m, d).collect()} == {1: "abcdabcd", 2: "abcdxy", 3: "abcdnew!"}
+
+
+def test_document_metadata_is_whole(spark, tmp_path):
+    """Matches, lines and groups that lie far behind the start of a text."""
+    filler = "\n".join(f"word {k}" for k in range(400))
+    texts = {1: f"{filler}\nNear the end", 2: filler, 3: f"{filler}\n7", 4: "the start", 5: None}
+    spark.createDataFrame([(d, t, "en", "web", len(t or "")) for d, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    known, sf_dir = catalogue.queries(), str(tmp_path)
+    lines = {d: t.split("\n") for d, t in texts.items() if t}
+    assert {r.inode_id - model.DOCUMENTS_FROM for r in known["op_contains"](spark, sf_dir).collect()} == {d for d, ls in lines.items() if any("the" in x for x in ls)} == {1, 4}
+    assert {r.value for r in known["distinct_key"](spark, sf_dir).collect()} == {x for ls in lines.values() for x in ls}
+    assert {r.value for r in known["distinct_comments"](spark, sf_dir).collect()} == set(filter(None, texts.values()))
+    got = {r.value: r.n for r in known["groupby_key"](spark, sf_dir).collect()}
+    assert got == {x: sum(x in ls for ls in lines.values()) for x in got} and got["7"] == 1 and got["word 399"] == 3

@@ -64,8 +64,7 @@ def order_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
-    head = F.substring("text", 1, 250)
-    return long_form(docs, F.col("doc_id") + DOCUMENTS_FROM, {"lang": F.col("lang"), "source": F.col("source"), "n_chars": F.col("n_chars"), "text": head, "Comments": head, "quality": F.col("quality"), "toxic": F.col("toxic")})
+    return long_form(docs, F.col("doc_id") + DOCUMENTS_FROM, {"lang": F.col("lang"), "source": F.col("source"), "n_chars": F.col("n_chars"), "text": F.col("text"), "Comments": F.col("text"), "quality": F.col("quality"), "toxic": F.col("toxic")})
 
 
 def all_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
