@@ -282,3 +282,14 @@ def test_document_metadata_is_whole(spark, tmp_path):
     assert {r.value for r in known["distinct_comments"](spark, sf_dir).collect()} == set(filter(None, texts.values()))
     got = {r.value: r.n for r in known["groupby_key"](spark, sf_dir).collect()}
     assert got == {x: sum(x in ls for ls in lines.values()) for x in got} and got["7"] == 1 and got["word 399"] == 3
+
+
+def test_csv_export_is_whole(spark, tmp_path):
+    """What Python's reader gets back is every text, also what needs quotes far behind the start."""
+    import csv
+    import io
+
+    texts = {1: "x" * 200 + ', "quoted"\nnext line', 2: "short", 3: "y" * 5000}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    lines = [r.value for r in catalogue.queries()["export_csv"](spark, str(tmp_path)).collect()]
+    assert {int(d): t for d, t in csv.reader(io.StringIO("\n".join(lines), newline=""))} == texts

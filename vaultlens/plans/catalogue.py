@@ -613,7 +613,7 @@ def export_jsonl(spark, sf_dir):
 
 @registered("""SELECT doc_id || ',' || CASE WHEN regexp_matches(t, '[,"\\n\\r]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END AS value FROM (SELECT doc_id, substr(text, 1, 80) AS t FROM documents)""")
 def export_csv(spark, sf_dir):
-    return export.csv_lines(model.read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 80).alias("t")))
+    return export.csv_lines(model.read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t")))
 
 
 @registered("""SELECT event_id, lpad(((event_id + 150) // 4500)::VARCHAR, 2, '0') || ':' || lpad(((event_id + 150) % 4500 // 75)::VARCHAR, 2, '0') || ':' || lpad(((event_id + 150) % 75)::VARCHAR, 2, '0') AS msf FROM events""")
