@@ -266,6 +266,17 @@ def test_line_dedup_edges(spark):
     assert [r.n_removed for r in again] == [0, 0, 0]
 
 
+def test_line_dedup_shared_ids(spark):
+    """A line goes only from rows that hold it, whether ids repeat or are missing; each of the lines at one place is searched."""
+    near = "one two three four five six"
+    rows = [(0, "copied line"), (1, "copied line"), (1, "unique line"), (5, near), (6, near.replace("six", "ten")), (6, "zz " + near), (6, "aa bb cc dd ee ff")]
+    rows += [(None, f"clean {k}") for k in range(30)] + [(None, "x\nlast"), (None, "y\nlast"), (7, "last"), (8, "x")]
+    out = linededup.dedup_lines(docs(spark, [(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, row int"))
+    got = {r["row"]: (r.text, r.n_lines, r.n_removed) for r in out.collect()}
+    gone = {1, 4, 5, len(rows) - 2, len(rows) - 1}
+    assert got == {k: ("", 1, 1) if k in gone else (t, t.count("\n") + 1, 0) for k, (_, t) in enumerate(rows)}
+
+
 # Decontamination
 
 

@@ -21,8 +21,10 @@ Hashes of all starts of a line are made from hashes of whole blocks of words and
 a line of any length costs a number of operations linear in its words. Tables that steer a join (keys that are shared,
 places of lines, lines that go) are stored and counted; up to BROADCAST_ROWS they are broadcast, beyond that shuffled.
 
+Rows that share an id, or have none, are told apart by a hash of their text, so a line goes only from rows that hold it.
+
 Defined results: null and empty texts stay as they are; ties in place (repeated document ids) count as one place, so
-neither row loses the line, and of different lines at one place only the least is searched for near ones; null ids sort first; an empty table gives an empty table; extra columns pass through.
+lines there never remove each other, but each is searched for near ones elsewhere; null ids sort first; an empty table gives an empty table; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ BLOCK = 32
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """d, i, line: every line with a word."""
-    split = docs.select(F.col(doc_id).alias("d"), F.posexplode(F.split(F.col(text), "\n")).alias("i", "line"))
+    """d, i, t (the hash of the whole text), line: every line with a word."""
+    split = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("t"), F.posexplode(F.split(F.col(text), "\n")).alias("i", "line"))
     return split.where(F.btrim("line", F.lit(SPACE_CHARS)) != "")
 
 
@@ -107,36 +109,40 @@ def _linked(variants: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """d, i: the places of the lines that go."""
+    """d, i, t: the places of the lines that go, and the hash of their text."""
     lines = _lines(docs, doc_id, text)
-    place = F.struct(F.col("d"), F.col("i"))
-    spaced = lines.select("d", "i", single_spaced(F.col("line")).alias("s"))
-    hashed = spaced.select("d", "i", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit("second"), F.col("s")).alias("h2"), "s", n_words(F.col("s")).alias("n"))
-    marked = stored(hashed.select("d", "i", "h1", "h2", _half_keys(F.col("s"), F.col("n")).alias("keys")))
+    place = F.struct("d", "i", "t")
+
+    def apart(x: Column, y: Column) -> Column:
+        return F.struct(x["d"], x["i"]) != F.struct(y["d"], y["i"])
+
+    spaced = lines.select("d", "i", "t", single_spaced(F.col("line")).alias("s"))
+    hashed = spaced.select("d", "i", "t", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit("second"), F.col("s")).alias("h2"), "s", n_words(F.col("s")).alias("n"))
+    marked = stored(hashed.select("d", "i", "t", "h1", "h2", _half_keys(F.col("s"), F.col("n")).alias("keys")))
     first = stored(marked.groupBy("h1", "h2").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("times"), F.first("keys").alias("keys")))
 
     keyed = first.select("p", F.explode("keys").alias("k")).select("p", "k.side", "k.key")
     shared = sized(keyed.groupBy("key").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo <> hi").select("key"))
-    near = sized(keyed.join(shared, "key", "left_semi").groupBy("p").agg(F.collect_set("side").alias("sides")).select("p.d", "p.i", "sides"))
+    near = sized(keyed.join(shared, "key", "left_semi").groupBy("p").agg(F.collect_set("side").alias("sides")).select("p.d", "p.i", "p.t", "sides"))
 
-    found = lines.join(near, lines["d"].eqNullSafe(near["d"]) & (lines["i"] == near["i"])).select(F.struct(lines["d"], lines["i"]).alias("p"), "sides", single_spaced(F.col("line")).alias("s"))
+    found = lines.join(near, lines["d"].eqNullSafe(near["d"]) & (lines["i"] == near["i"]) & (lines["t"] == near["t"])).select(F.struct(lines["d"], lines["i"], lines["t"]).alias("p"), "sides", single_spaced(F.col("line")).alias("s"))
     texts = stored(found.groupBy("p").agg(F.min("s").alias("s"), F.first("sides").alias("sides")))
     pairs = _linked(_neighbourhood(texts))
     x = texts.select("p", F.split("s", " ").alias("x"))
     y = texts.select(F.col("p").alias("e"), F.split("s", " ").alias("y"))
-    verified = pairs.join(x, "p").join(y, "e").where((F.greatest(F.size("x"), F.size("y")) >= MIN_WORDS) & _within_one(F.col("x"), F.col("y")))
+    verified = pairs.where(apart(F.col("p"), F.col("e"))).join(x, "p").join(y, "e").where((F.greatest(F.size("x"), F.size("y")) >= MIN_WORDS) & _within_one(F.col("x"), F.col("y")))
     gone = verified.select("p", F.lit(True).alias("all")).distinct()
 
     decided = first.select("h1", "h2", "p", "times").join(gone, "p", "left").where("all OR times > 1").select("h1", "h2", "p", F.coalesce("all", F.lit(False)).alias("all"))
-    out = marked.select("d", "i", "h1", "h2").join(sized(decided), ["h1", "h2"]).where(F.col("all") | (place != F.col("p")))
-    return out.select("d", "i").distinct()
+    out = marked.select("h1", "h2", place.alias("at")).join(sized(decided), ["h1", "h2"]).where(F.col("all") | apart(F.col("at"), F.col("p")))
+    return out.select("at.d", "at.i", "at.t").distinct()
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the lines that go, with n_lines (lines with a word before) and n_removed added."""
-    d, gone, total, removed = fresh(docs, "_d", "_gone", "n_lines", "n_removed")
-    by_doc = sized(removals(docs, doc_id, text).groupBy("d").agg(F.collect_set("i").alias(gone)).withColumnRenamed("d", d), weight=F.size(gone) / 8)
-    joined = docs.join(by_doc, F.col(doc_id).eqNullSafe(F.col(d)), "left").drop(d)
+    d, t, gone, total, removed = fresh(docs, "_d", "_t", "_gone", "n_lines", "n_removed")
+    by_row = sized(removals(docs, doc_id, text).groupBy("d", "t").agg(F.collect_set("i").alias(gone)).withColumnsRenamed({"d": d, "t": t}), weight=F.size(gone) / 8)
+    joined = docs.join(by_row, F.col(doc_id).eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(t)), "left").drop(d, t)
     # The places that stay are found with hash sets, so a text of many lines costs no more than its lines.
     lines = F.split(F.col(text), "\n")
     keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
