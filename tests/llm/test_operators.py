@@ -125,6 +125,17 @@ def test_near_duplicates_edges(spark):
     assert simhash.near_duplicates(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_near_duplicates_shared_ids(spark):
+    """One row of each component stays, whether ids repeat or are missing."""
+    rng = random.Random(13)
+    a, b, c, d, e, f = (prose(rng, 200) for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (1, c), (2, c), (2, d), (3, e), (None, e), (4, f), (4, f), (None, None)]
+    kept = simhash.deduplicated(docs(spark, rows)).collect()
+    assert sorted((r.text or "", r.doc_id or 0) for r in kept) == sorted([(a, 0), (b, 0), (c, 1), (d, 2), (e, 3), (f, 4), ("", 0)])
+    near = next(t for k in range(1000) if 0 < (simhash.fingerprint(a) ^ simhash.fingerprint(t := f"{a} {k}")).bit_count() <= simhash.MAX_BITS)
+    assert simhash.deduplicated(docs(spark, [(None, a), (None, near), (None, b)])).count() == 2
+
+
 # BPE
 
 

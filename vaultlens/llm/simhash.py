@@ -1,15 +1,16 @@
 """SimHash near-duplicates: fingerprints, pigeonhole blocks, verified Hamming distance, connected components.
 
-Fingerprints are made text by text in numpy. Equal ones are merged first (one node, the least id, for any number of
-copies). A fingerprint is cut into BLOCKS parts; two that differ in at most MAX_BITS bits agree in all parts but
+Fingerprints are made text by text in numpy. Equal ones are merged first (one node, the fingerprint itself, for any
+number of copies), so ids that repeat or are missing neither link nor part anything. A fingerprint is cut into BLOCKS parts; two that differ in at most MAX_BITS bits agree in all parts but
 MAX_BITS, so for each choice of parts to keep, equal kept bits make a bucket. Buckets are counted before anything is
 gathered: a bucket of two is a pair; one of up to BUCKET nodes is searched in one task, which returns links that span
 what it connects, never all pairs; nodes of larger buckets go to finer buckets (FINE parts, so that at most 16 bits
 are free and no bucket can hold more than 65,536 distinct fingerprints). Nothing is capped or dropped.
 
 Defined results: null and empty texts have the fingerprint zero, which links like any other; texts of one or two
-words have one shingle, the whole text; a null id is a document like any other and sorts first; repeated rows share
-a component; an empty table gives an empty table; extra columns are ignored.
+words have one shingle, the whole text; a null id is a document like any other and sorts last (it names a component
+only if no row there has an id); repeated rows share a component; an empty table gives an empty table; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -57,15 +58,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return sum(1 << int(b) for b in np.flatnonzero(2 * counts > len(hashes)))
 
 
-def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, fp (the fingerprint's 64 bits as a long)."""
+def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *also: str) -> DataFrame:
+    """id, fp (the fingerprint's 64 bits as a long) and the columns of also."""
     ship(docs.sparkSession)
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select(F.col(doc_id).alias("id"), fp(F.col(text)).alias("fp"))
+    return docs.select(F.col(doc_id).alias("id"), fp(F.col(text)).alias("fp"), *also)
 
 
 def _bounds(parts: int) -> list[tuple[int, int]]:
@@ -139,12 +140,18 @@ def links(nodes: DataFrame) -> DataFrame:
     return pairs.unionByName(small).unionByName(_gathered(_keys(dense, FINE))).distinct()
 
 
+def _rooted(marked: DataFrame) -> DataFrame:
+    """fp, id (the least that has it), root (the least fingerprint that links reach): one row for each fingerprint of marked (id, fp)."""
+    nodes = cut(marked.groupBy("fp").agg(F.min("id").alias("id")))
+    found = components(links(nodes.select("fp", F.col("fp").alias("id")))).select(F.col("node").alias("fp"), "component")
+    return nodes.join(found, "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, fp, component (the least id that links reach) for every row of docs."""
     marked = cut(with_fingerprints(docs, doc_id, text))
-    nodes = marked.groupBy("fp").agg(F.min("id").alias("id"))
-    found = components(links(nodes.where("id IS NOT NULL"))).withColumnRenamed("node", "id")
-    named = nodes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
+    rooted = _rooted(marked)
+    named = rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component")), "root").select("fp", "component")
     return marked.join(named, "fp", "left").select("id", "fp", "component")
 
 
@@ -153,17 +160,20 @@ def hex16(fp: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component stays: that of the least id, and of rows that repeat that id the one with the least text.
+    """One row of each component stays: that of the least id, and of rows that repeat that id the one whose text has the least hash.
 
+    Rows are known by id and hash of the text, so rows that share an id, or have none, are judged each by its own text.
     What goes is joined, not what stays: it is the shorter list, and while it is short, texts are not shuffled.
     """
-    found = near_duplicates(docs, doc_id, text)
-    stays = F.col("id").eqNullSafe(F.col("component"))
-    ids = cut(found.groupBy("id").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("n")).where("NOT stays OR n > 1"))
-    gone = sized(ids.where("NOT stays").select(F.col("id").alias("_gone")))
-    out = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
-    if ids.where("stays AND n > 1").isEmpty():
-        return out
-    place = fresh(docs, "_place")[0]
-    first = Window.partitionBy(doc_id).orderBy(text, *[c for c in docs.columns if c not in (doc_id, text)])
-    return out.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
+    key, place = fresh(docs, "_key", "_place")
+    marked = cut(with_fingerprints(docs.withColumn(key, F.xxhash64(text)), doc_id, text, key).withColumnRenamed(key, "t"))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "t")
+    rows = marked.join(_rooted(marked).select("fp", "root"), "fp").select("root", rank.alias("row"))
+    many = sized(rows.groupBy("root").agg(F.min("row").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "keep"))
+    judged = cut(rows.join(many, "root").groupBy("row", "keep").agg(F.count(F.lit(1)).alias("n")).where("row <> keep OR n > 1"))
+    gone = sized(judged.where("row <> keep").select(F.col("row.id").alias("_id"), F.col("row.t").alias("_t")))
+    out = docs.withColumn(key, F.xxhash64(text)).join(gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col(key) == F.col("_t")), "left_anti")
+    if judged.where("row = keep").isEmpty():
+        return out.drop(key)
+    first = Window.partitionBy(doc_id, key).orderBy(text, *[c for c in docs.columns if c not in (doc_id, text)])
+    return out.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place, key)
