@@ -321,6 +321,17 @@ def test_containment_without_broadcast(spark, monkeypatch):
     assert [tuple(r) for r in got.collect()] == [(1, 7, 2, 2)]
 
 
+def test_containment_of_null_ids(spark):
+    """Rows without an id are searched and filtered each by its own text; items without an id are searched for."""
+    one, two = "a b c d e f", "u v w x y z"
+    rows = [(None, f"x {one} y"), (None, "nothing of it here at all"), (1, f"{two} q"), (2, "clean as can be so far")]
+    items = spark.createDataFrame([(7, one), (None, two)], "item_id long, text string")
+    got = decontam.contained(docs(spark, rows), items).collect()
+    assert {tuple(r) for r in got} == {(None, 7, 2, 2), (1, None, 2, 2)} and len(got) == 2
+    left = decontam.decontaminated(docs(spark, rows), items)
+    assert {tuple(r) for r in left.collect()} == {rows[1], rows[3]}
+
+
 # URLs
 
 

@@ -11,8 +11,8 @@ Sketches, and the shingles of candidate items, are broadcast only while the benc
 them (counted first); beyond that the same joins shuffle.
 
 Defined results: a text of fewer than five words has one shingle, all its words; null and blank texts hold nothing, and
-null and blank items are held by nothing; repeated documents are judged alike; items of equal text are each reported;
-empty tables give an empty result; extra columns pass through the filter.
+null and blank items are held by nothing; rows that repeat an id are judged alike; null ids are searched and reported like
+any other, and each row without an id is judged by its own text; items of equal text are each reported; empty tables give an empty result; extra columns pass through the filter.
 """
 
 from __future__ import annotations
@@ -51,37 +51,49 @@ def _probes(text: Column, most: int) -> Column:
     return let(words(ascii_lower(text)), of)
 
 
+def _text_key(doc_id: str, text: str) -> Column:
+    """What tells rows without an id apart: a hash of the text; rows with an id are known by it."""
+    return F.when(F.col(doc_id).isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, n_shared, n_item: every pair at or above the threshold."""
+def _held(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str) -> DataFrame:
+    """doc_id, t (its text key), item_id, n_shared, n_item: every pair at or above the threshold."""
     num, den = THRESHOLD
     sets = items.select(F.col(item_id).alias("item_id"), _shingles(F.col(item_text)).alias("shingles")).where(F.size("shingles") > 0).distinct()
     n = F.size("shingles")
     by_hash = F.sort_array(F.transform("shingles", lambda s: F.xxhash64(s)))
     sketch = F.slice(by_hash, F.lit(1), F.floor(n * (den - num) / den).cast("int") + 1)
-    prepared = cut(sets.select("item_id", "shingles", n.alias("n"), F.floor(F.log2(n)).cast("int").alias("part"), sketch.alias("sketch")))
+    # Items are known by a number, which stands once the table is stored.
+    prepared = cut(sets.select(F.monotonically_increasing_id().alias("item"), "item_id", "shingles", n.alias("n"), F.floor(F.log2(n)).cast("int").alias("part"), sketch.alias("sketch")))
     # One bound of each size partition; sizes up to 2^31 make at most 32 partitions.
     bounds = prepared.groupBy("part").agg(F.max(F.element_at("sketch", -1)).alias("most"), F.sum(F.size("sketch")).alias("rows"), F.sum("n").alias("all")).collect()
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), _text_key(doc_id, text).alias("t"), F.col(text).alias("text"))
     if not bounds:
-        return docs.select(F.col(doc_id).alias("doc_id"), F.lit(0).cast(prepared.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("n_shared"), F.lit(0).alias("n_item")).limit(0)
+        return keyed.select("doc_id", "t", F.lit(0).cast(prepared.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("n_shared"), F.lit(0).alias("n_item")).limit(0)
     most = max(b["most"] for b in bounds)
-    sketches = prepared.select("item_id", F.explode("sketch").alias("h"))
-    probes = docs.select(F.col(doc_id).alias("doc_id"), F.explode(_probes(F.col(text), most)).alias("h"))
-    found = probes.join(_small(sketches, sum(b["rows"] for b in bounds)), "h").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("_"))
-    # The documents that the search names; while they are few, no text is shuffled to verify them.
-    listed = sized(found.groupBy("doc_id").agg(F.collect_set("item_id").alias("wanted")), weight=F.size("wanted") / 4)
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).join(listed, "doc_id")
-    exact = prepared.select("item_id", "n", "shingles")
-    pairs = texts.select("doc_id", F.explode("wanted").alias("item_id"), _shingles(F.col("t")).alias("held"))
+    sketches = prepared.select("item", F.explode("sketch").alias("h"))
+    probes = keyed.select("doc_id", "t", F.explode(_probes(F.col("text"), most)).alias("h"))
+    found = probes.join(_small(sketches, sum(b["rows"] for b in bounds)), "h").groupBy("doc_id", "t", "item").agg(F.count(F.lit(1)).alias("_"))
+    # The rows that the search names; while they are few, no text is shuffled to verify them.
+    listed = sized(found.groupBy("doc_id", "t").agg(F.collect_set("item").alias("wanted")).select(F.col("doc_id").alias("d"), F.col("t").alias("dt"), "wanted"), weight=F.size("wanted") / 4)
+    texts = keyed.join(listed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt")))
+    exact = prepared.select("item", "item_id", "n", "shingles")
+    pairs = texts.select("doc_id", "t", F.explode("wanted").alias("item"), _shingles(F.col("text")).alias("held"))
     shared = F.size(F.array_intersect("held", "shingles"))
-    out = pairs.join(_small(exact, sum(b["all"] for b in bounds)), "item_id").select("doc_id", "item_id", shared.alias("n_shared"), F.col("n").alias("n_item"))
-    return out.where(den * F.col("n_shared") >= num * F.col("n_item")).distinct()
+    out = pairs.join(_small(exact, sum(b["all"] for b in bounds)), "item").select("doc_id", "t", "item_id", shared.alias("n_shared"), F.col("n").alias("n_item"))
+    return out.where(den * F.col("n_shared") >= num * F.col("n_item"))
+
+
+def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, item_id, n_shared, n_item: every pair at or above the threshold."""
+    return _held(docs, items, doc_id, text, item_id, item_text).drop("t").distinct()
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The documents that hold no item. A null id cannot be named by the search's result, so such documents stay."""
-    held = sized(contained(docs, items, doc_id, text, item_id, item_text).select(F.col("doc_id").alias("_held")).distinct())
-    return docs.join(held, F.col(doc_id) == F.col("_held"), "left_anti")
+    """The documents that hold no item; of rows without an id, each is judged by its own text."""
+    held = sized(_held(docs, items, doc_id, text, item_id, item_text).select(F.col("doc_id").alias("_held"), F.col("t").alias("_t")).distinct())
+    return docs.join(held, F.col(doc_id).eqNullSafe(F.col("_held")) & (_text_key(doc_id, text) == F.col("_t")), "left_anti")
