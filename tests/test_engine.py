@@ -233,7 +233,7 @@ def test_exports(spark):
     assert "".join(export.json_document(rows)) == '{"count": 2, "results": [{"path":"/a","metadata":{"k":"v"}},"/b"]}'
     wide = spark.createDataFrame([("/a", 'x"y'), ("/b", "p,q"), ("/c", None)], "path string, k string")
     assert [r.value for r in export.csv_lines(wide).collect()] == ['/a,"x""y"', '/b,"p,q"', "/c,"]
-    assert export.table_lines(wide)[0] == "path  k"
+    assert list(export.table_lines(wide)) == ["path  k", "----  ---", '/a    x"y', "/b    p,q", "/c"]
 
 
 def test_binary_sources(spark, tmp_path):
@@ -269,6 +269,115 @@ def test_streaming_ingest(spark, tmp_path):
     assert {r.inode_id: r.data for r in sectors.rebuilt(m, d).collect()} == {1: "abcdabcd", 2: "abcdxy", 3: "abcdnew!"}
 
 
+def test_stateful_ingest(spark, tmp_path):
+    src, base, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")
+    schema = "inode_id long, sector_size int, data string"
+    for rows in ([(1, 4, "abcdabcd"), (2, 4, "abcdxy")], [(3, 4, "abcdnew!"), (4, 2, "xy")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        for q in ingest.ingest_stateful(spark.readStream.schema(schema).parquet(src), base, check):
+            q.awaitTermination()
+    d, m = ingest.stored(spark, base)
+    assert sorted((r.sector_size, r.data) for r in d.collect()) == [(2, "xy"), (4, "abcd"), (4, "new!"), (4, "xy")]
+    assert {r.inode_id: r.data for r in sectors.rebuilt(m, d).collect()} == {1: "abcdabcd", 2: "abcdxy", 3: "abcdnew!", 4: "xy"}
+
+
+@pytest.mark.parametrize("conf", [{}, {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m"}])
+def test_placed_loses_nothing(spark, tmp_path, conf):
+    """Every sector comes back with its contents, at positions 0 .. n - 1, however Spark deals out and merges partitions."""
+    n, before = 300_000, {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        new = spark.range(n).select(F.lit(64).alias("sector_size"), F.md5(F.col("id").cast("string").cast("binary")).alias("hash"), F.rpad(F.col("id").cast("string"), 64, "x").alias("data"))
+        sectors.placed(new, 64, start=5).write.parquet(str(tmp_path / "p"))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    got = spark.read.parquet(str(tmp_path / "p")).withColumn("at", F.col("lba") * 65536 + F.col("offset") / 64 - 5)
+    whole = got.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("at").alias("places"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.countDistinct("data").alias("texts")).first()
+    assert tuple(whole) == (n, n, 0, n - 1, n)
+    assert got.orderBy("at").select("hash").limit(50).collect() == new.select("hash").orderBy("hash").limit(50).collect()
+
+
+def test_slicing_is_whole(spark):
+    rng = __import__("random").Random(4)
+    texts = ["".join(rng.choice("ab\n\r é🙂\u2028") for _ in range(k)) for k in (0, 1, 6, 7, 8, 100)]
+    rows = [(k, s, t) for k, t in enumerate(texts) for s in (1, 7, 64)]
+    want = sorted((k, s, i, t[i * s : i * s + s]) for k, s, t in rows for i in range(-(-len(t) // s)))
+    got = sectors.sliced(spark.createDataFrame(rows, "inode_id long, sector_size int, data string"))
+    assert sorted((r.inode_id, r.sector_size, r.sector, r.data) for r in got.collect()) == want
+    raw = sectors.sliced(spark.createDataFrame([(1, 4, bytearray(range(10)))], "inode_id long, sector_size int, data binary"))
+    assert [bytes(r.data) for r in raw.orderBy("sector").collect()] == [bytes(range(4)), bytes(range(4, 8)), bytes([8, 9])]
+
+
+def test_new_places_sorts_nothing(spark, sf):
+    cut = sectors.sliced(model.images(spark, sf))
+    plan = sectors.new_places(cut, cut.where("inode_id % 2 = 0").select("sector_size", "hash").distinct())._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_missing_sectors_fail(spark):
+    cut = sectors.sliced(spark.createDataFrame([(1, 4, "abcdef")], "inode_id long, sector_size int, data string"))
+    lost, smap = cut.where("sector = 0").select("sector_size", "hash", "data"), sectors.sector_map(cut)
+    assert [r.data for r in sectors.sectors_of(smap, lost).orderBy("sector").collect()] == ["abcd", None]
+    for read in (sectors.streamed, sectors.rebuilt):
+        with pytest.raises(Exception, match="sector 1 of object 1 is missing"):
+            read(smap, lost, "error").collect()
+    located = sectors.placed(cut.select("sector_size", "hash", "data"), 4)
+    assert {(r.sector, r.lba) for r in sectors.backfilled(smap, located).collect()} == {(0, 0), (1, 0)}
+
+
+@pytest.mark.parametrize("width", [1, 3, 10, 1 << 20])
+def test_intervals_of_any_width(spark, width):
+    """Buckets change the work, not the answers: against plain Python, with long and touching intervals."""
+    rng = __import__("random").Random(width)
+    spans = [(o, rng.randint(0, 3), at, rng.choice([0, 1, 2, 5, 40])) for o, at in enumerate(rng.sample(range(120), 40))]
+    places = sorted({(rng.randint(0, 1), rng.randint(0, 90)) for _ in range(120)})
+    r = spark.createDataFrame(spans, "id long, inode_id long, offset long, length long")
+    p = spark.createDataFrame(places, "inode_id long, at long")
+    inside = {(i, at, k) for i, at in places for k, j, lo, n in spans if i == j and lo <= at < lo + n}
+    assert {(x.inode_id, x.at, x.id) for x in intervals.locate(p, r, width).collect()} == inside
+    free = {(i, at) for i, at in places} - {x[:2] for x in inside}
+    assert {tuple(x) for x in intervals.outside(p, r, width).select("inode_id", "at").collect()} == free
+    left = intervals.locate(p, r, width, "left").collect()
+    assert {(x.inode_id, x.at, x.id) for x in left} == inside | {(i, at, None) for i, at in free} and len(left) == len(inside) + len(free)
+    both = {(a[0], b[0]) for a in spans for b in spans if a[1] == b[1] and a[3] and b[3] and a[2] < b[2] + b[3] and b[2] < a[2] + a[3]}
+    got = [(x.a_id, x.b_id) for x in intervals.overlaps(r, r, width).collect()]
+    assert set(got) == both and len(got) == len(both)
+    starts = {i: sorted(lo for _, j, lo, _ in spans if j == i) for i in (0, 1)}
+    as_of = {(x.inode_id, x.at): x.offset for x in intervals.as_of(p, r.select("inode_id", "offset"), width).collect()}
+    assert as_of == {(i, at): max((s for s in starts[i] if s <= at), default=None) for i, at in places}
+    lba = p.withColumnRenamed("at", "lba")
+    runs = []
+    for i, at in places:
+        if runs and runs[-1][0] == i and runs[-1][2] == at - 1:
+            runs[-1][2:] = [at, runs[-1][3] + 1]
+        else:
+            runs.append([i, at, at, 1])
+    assert sorted(map(list, intervals.islands(lba, ["inode_id"], width=width).select("inode_id", "first", "last", "n").collect())) == runs
+    holes = [(a[0], a[2] + 1, b[1] - 1) for a, b in zip(runs, runs[1:]) if a[0] == b[0]]
+    assert sorted(map(tuple, intervals.gaps(lba, ["inode_id"], width=width).collect())) == holes
+    kinds = p.withColumn("kind", F.floor(F.col("at") / 7) % 2)
+    turns = []
+    for i, at in places:
+        if turns and turns[-1][0] == i and turns[-1][1] == at // 7 % 2:
+            turns[-1][3:] = [at, turns[-1][4] + 1]
+        else:
+            turns.append([i, at // 7 % 2, at, at, 1])
+    assert sorted(map(list, intervals.runs_of_equal(kinds, ["inode_id"], "at", "kind", width).collect())) == sorted(turns)
+    before = {(x.inode_id, x.at): x.b for x in intervals.previous(p.withColumn("v", F.col("at") * 2), ["inode_id"], "at", "v", "b", width).collect()}
+    assert before == {(i, at): max((2 * b for j, b in places if j == i and b < at), default=None) for i, at in places}
+    blocks = sorted(tuple(x) for x in intervals.runs_within_blocks(p, r, ["inode_id"], 10, width).select("inode_id", "first", "last").collect())
+    cut = []
+    for i, at in sorted(free):
+        if cut and cut[-1][0] == i and cut[-1][2] == at - 1 and at % 10:
+            cut[-1][2] = at
+        else:
+            cut.append([i, at, at])
+    assert blocks == sorted(map(tuple, cut))
+    assert [tuple(x) for x in intervals.first_fit(intervals.gaps(lba.where("inode_id = 0"), ["inode_id"]), 1, 30).collect()] == [next(((a, a) for i, a, _ in holes if i == 0 and a >= 30), None)]
+
+
 def test_document_metadata_is_whole(spark, tmp_path):
     """Matches, lines and groups that lie far behind the start of a text."""
     filler = "\n".join(f"word {k}" for k in range(400))

@@ -4,12 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset a temporary one serves a single machine; a cluster must name one that all its machines see."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        found = f"file://{tempfile.mkdtemp(prefix='vaultlens-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, stored reliably in the folder that spark.checkpoint.dir names; a temporary one only where that is unset, as in tests."""
+    """df, stored reliably in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vaultlens-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)

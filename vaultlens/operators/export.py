@@ -50,14 +50,15 @@ def csv_header(wide: DataFrame) -> str:
     return ",".join(f'"{c.replace(chr(34), chr(34) * 2)}"' if any(x in c for x in ',"\n\r') else c for c in wide.columns)
 
 
-def table_lines(wide: DataFrame) -> list[str]:
-    """Aligned text. Widths are the only thing gathered before the rows stream through the driver."""
+def table_lines(wide: DataFrame) -> Iterator[str]:
+    """Aligned text, line by line. Widths are the only thing gathered before the rows stream through the driver a partition at a time."""
     text = wide.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in wide.columns])
     widths = text.agg(*[F.coalesce(F.max(F.length(F.col(f"`{c}`"))), F.lit(0)).alias(c) for c in text.columns]).first()
     size = {c: max(len(c), widths[c]) for c in text.columns}
-    out = ["  ".join(c.ljust(size[c]) for c in text.columns).rstrip(), "  ".join("-" * size[c] for c in text.columns)]
-    out += ["  ".join(r[c].ljust(size[c]) for c in text.columns).rstrip() for r in text.toLocalIterator()]
-    return out
+    yield "  ".join(c.ljust(size[c]) for c in text.columns).rstrip()
+    yield "  ".join("-" * size[c] for c in text.columns)
+    for r in text.toLocalIterator():
+        yield "  ".join(r[c].ljust(size[c]) for c in text.columns).rstrip()
 
 
 def write(lines: DataFrame, path: str) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultlens.functions.lineage import cut
+from vaultlens.operators.intervals import previous
 
 
 def extent_faults(extents: DataFrame, blocks: int) -> DataFrame:
@@ -92,8 +93,7 @@ def next_inode(inodes: DataFrame) -> DataFrame:
 
 def order_faults(rows: DataFrame, by: list[str], at: str, key: str) -> DataFrame:
     """Rows whose key isn't above the one before."""
-    w = Window.partitionBy(*by).orderBy(at)
-    return rows.withColumn("before", F.lag(key).over(w)).where(F.col("before") >= F.col(key))
+    return previous(rows, by, at, key, "before").where(F.col("before") >= F.col(key))
 
 
 def superblock_faults(sb: DataFrame, blocks: int) -> DataFrame:

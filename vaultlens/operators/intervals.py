@@ -1,27 +1,72 @@
 """Interval joins, islands and extents.
 
 Range joins carry an equality on the object and on a bucket of the line, so Spark hashes them instead of comparing every
-pair. An interval is entered in each bucket it touches; a point is in one bucket; so nothing is lost and nothing is
-found twice.
+pair. Buckets are `width` wide for intervals up to that length; longer ones are entered at the first power of two times
+`width` that holds them, so an interval of any length is in two buckets at most and a point is looked for once at each
+size that occurs.
+
+Operators that look at neighbours never sort a whole object in one task, since one object may hold much of the table:
+its line is cut into buckets, windows run within a bucket, and what crosses a border is carried by a table of one or two
+rows a bucket.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Places that one task sorts at a time, where the caller names no other number.
+WIDTH = 1 << 20
 
-def _buckets(low: Column, high: Column, width: int) -> Column:
-    return F.sequence(F.floor(low / width), F.floor(high / width))
 
+def _level(length: Column, width: int) -> Column:
+    """How often `width` is doubled until it holds a length."""
+    steps = F.call_function("div", length - 1, F.lit(width))
+    return F.when(steps <= 0, F.lit(0)).otherwise(F.length(F.bin(steps))).cast("int")
 
-def locate(points: DataFrame, intervals: DataFrame, width: int, how: str = "inner") -> DataFrame:
-    """points (inode_id, at, ...) with the half-open interval (offset, length, ...) that holds them."""
-    spans = intervals.where("length > 0").withColumn("_b", F.explode(_buckets(F.col("offset"), F.col("offset") + F.col("length") - 1, width)))
-    at = points.withColumn("_b", F.floor(F.col("at") / width))
+
+def _start(at: Column, wide: Column) -> Column:
+    """The first place of a place's bucket."""
+    return (at - F.pmod(at, wide)).cast("long")
+
+
+def _entered(spans: DataFrame, width: int) -> DataFrame:
+    """Intervals with _l (level) and _b (bucket), once for each of the one or two buckets that they touch."""
+    low, high = F.col("offset"), F.col("offset") + F.col("length") - 1
+    wide = F.call_function("shiftleft", F.lit(width).cast("long"), F.col("_l"))
+    return spans.withColumn("_l", _level(F.col("length"), width)).withColumn("_b", F.explode(F.array_distinct(F.array(_start(low, wide), _start(high, wide)))))
+
+
+def _probed(points: DataFrame, levels: list[int], width: int) -> DataFrame:
+    """points with _l and _b, once for each level."""
+    each = F.array(*[F.struct(F.lit(k).alias("_l"), _start(F.col("at"), F.lit(width << k).cast("long")).alias("_b")) for k in levels])
+    return points.withColumn("_p", F.explode(each)).select(*points.columns, "_p._l", "_p._b")
+
+
+def _met(points: DataFrame, intervals: DataFrame, width: int, how: str = "inner", levels: list[int] | None = None) -> DataFrame:
+    """points (inode_id, at, ...) with every half-open interval that holds them."""
+    spans = intervals.where("length > 0")
+    levels = levels or _levels(spans, width)
     held = (F.col("at") >= F.col("offset")) & (F.col("at") < F.col("offset") + F.col("length"))
-    spans = spans.withColumnRenamed("inode_id", "_i")
-    return at.join(spans, (F.col("inode_id") == F.col("_i")) & (at["_b"] == spans["_b"]) & held, how).drop("_b", "_i")
+    on = (F.col("inode_id") == F.col("_i")) & (F.col("_l") == F.col("_m")) & (F.col("_b") == F.col("_c")) & held
+    return _probed(points, levels, width).join(_entered(spans, width).withColumnsRenamed({"inode_id": "_i", "_l": "_m", "_b": "_c"}), on, how).drop("_i", "_l", "_m", "_b", "_c")
+
+
+def _levels(spans: DataFrame, width: int) -> list[int]:
+    """The levels that occur: 64 small numbers at most."""
+    return sorted(r[0] for r in spans.select(_level(F.col("length"), width).alias("l")).distinct().collect()) or [0]
+
+
+def locate(points: DataFrame, intervals: DataFrame, width: int, how: str = "inner") -> DataFrame:
+    """points (inode_id, at, ...) with the half-open interval (offset, length, ...) that holds them; how: inner, left or left_anti."""
+    levels = _levels(intervals.where("length > 0"), width)
+    if how == "inner" or len(levels) == 1:  # at one level a point is in one bucket, so a join of any kind is the whole answer
+        return _met(points, intervals, width, how, levels)
+    found = _met(points, intervals, width, levels=levels)
+    free = points.join(found.select("inode_id", "at").distinct(), ["inode_id", "at"], "left_anti").select(points.columns)
+    return free if how == "left_anti" else found.unionByName(free, allowMissingColumns=True)
 
 
 def outside(points: DataFrame, intervals: DataFrame, width: int) -> DataFrame:
@@ -29,13 +74,22 @@ def outside(points: DataFrame, intervals: DataFrame, width: int) -> DataFrame:
     return locate(points, intervals, width, "left_anti")
 
 
-def as_of(points: DataFrame, starts: DataFrame) -> DataFrame:
-    """points with the last start at or before them, by one sort of both together."""
+def _cut(rows: DataFrame, at: str, width: int) -> DataFrame:
+    return rows.withColumn("_b", F.floor(F.col(at) / width))
+
+
+def as_of(points: DataFrame, starts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """points with the last start at or before them, by one sort of both together in each bucket."""
     value = [c for c in starts.columns if c not in ("inode_id", "offset")]
     both = points.select("inode_id", F.col("at").alias("_t"), F.lit(1).alias("_k"), F.struct(*points.columns).alias("_p"), F.lit(None).cast(starts.select(F.struct("offset", *value)).schema[0].dataType).alias("_s"))
     both = both.unionByName(starts.select("inode_id", F.col("offset").alias("_t"), F.lit(0).alias("_k"), F.lit(None).cast(points.select(F.struct(*points.columns)).schema[0].dataType).alias("_p"), F.struct("offset", *value).alias("_s")))
-    w = Window.partitionBy("inode_id").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("_s", F.last("_s", ignorenulls=True).over(w)).where("_k = 1").select("_p.*", *[F.col(f"_s.{c}").alias(c) for c in ("offset", *value)])
+    both = _cut(both, "_t", width)
+    w = Window.partitionBy("inode_id", "_b").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("inode_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy("inode_id", "_b").agg(F.max_by("_s", F.when(F.col("_k") == 0, F.col("_t"))).alias("_e"))
+    carried = carried.select("inode_id", "_b", F.last("_e", ignorenulls=True).over(before).alias("_e"))
+    out = both.withColumn("_s", F.last("_s", ignorenulls=True).over(w)).where("_k = 1").join(carried, ["inode_id", "_b"], "left").withColumn("_s", F.coalesce("_s", "_e"))
+    return out.select("_p.*", *[F.col(f"_s.{c}").alias(c) for c in ("offset", *value)])
 
 
 def inside_any(points: DataFrame, regions: DataFrame, most: int = 10_000) -> DataFrame:
@@ -47,50 +101,106 @@ def inside_any(points: DataFrame, regions: DataFrame, most: int = 10_000) -> Dat
 
 
 def overlaps(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
-    """Pairs of half-open intervals of one object that share a place; each pair once, in the bucket of the later start."""
-    x = a.select("inode_id", F.col("id").alias("a_id"), F.col("offset").alias("ao"), (F.col("offset") + F.col("length")).alias("ae")).where("ae > ao").withColumn("_b", F.explode(_buckets(F.col("ao"), F.col("ae") - 1, width)))
-    y = b.select("inode_id", F.col("id").alias("b_id"), F.col("offset").alias("bo"), (F.col("offset") + F.col("length")).alias("be")).where("be > bo").withColumn("_b", F.explode(_buckets(F.col("bo"), F.col("be") - 1, width)))
-    met = x.join(y, ["inode_id", "_b"]).where("ao < be AND bo < ae").where(F.floor(F.greatest("ao", "bo") / width) == F.col("_b"))
+    """Pairs of half-open intervals of one object that share a place, each pair once.
+
+    Of two that overlap one starts within the other, so the starts of each side are located in the other's intervals;
+    equal starts count on the first side only.
+    """
+    x = a.select("inode_id", F.col("id").alias("a_id"), F.col("offset").alias("ao"), (F.col("offset") + F.col("length")).alias("ae")).where("ae > ao")
+    y = b.select("inode_id", F.col("id").alias("b_id"), F.col("offset").alias("bo"), (F.col("offset") + F.col("length")).alias("be")).where("be > bo")
+    y_in_x = _met(y.withColumn("at", F.col("bo")), x.withColumns({"offset": F.col("ao"), "length": F.col("ae") - F.col("ao")}), width)
+    x_in_y = _met(x.withColumn("at", F.col("ao")), y.withColumns({"offset": F.col("bo"), "length": F.col("be") - F.col("bo")}), width).where("ao <> bo")
+    own = ["inode_id", "a_id", "b_id", "ao", "ae", "bo", "be"]
+    met = y_in_x.select(*own).unionByName(x_in_y.select(*own))
     return met.select("inode_id", "a_id", "b_id", F.greatest("ao", "bo").alias("start"), F.least("ae", "be").alias("stop"))
 
 
-def merge_adjacent(regions: DataFrame, same: list[str]) -> DataFrame:
+def _runs(rows: DataFrame, by: list[str], at: str, end: Column, same: list[str], touching: bool, width: int) -> DataFrame:
+    """by, same, first, end, n, length: runs of neighbours that agree in `same` and, if touching, begin where the one before ends.
+
+    Runs are made within buckets. Only the first and last run of a bucket can go on beyond it, so those alone (two rows a
+    bucket at most) are joined up over the whole object.
+    """
+    r = _cut(rows.select(*by, F.col(at).alias("_at"), end.alias("_end"), *same), "_at", width)
+
+    def breaks(w, start: str, stop: str) -> Column:
+        differs = [~F.col(c).eqNullSafe(F.lag(c).over(w)) for c in same]
+        return reduce(lambda x, y: x | y, differs, F.coalesce(F.lag(stop).over(w) != F.col(start), F.lit(True)) if touching else F.lag(start).over(w).isNull())
+
+    w = Window.partitionBy(*by, "_b").orderBy("_at")
+    numbered = r.withColumn("_run", F.sum(breaks(w, "_at", "_end").cast("long")).over(w))
+    runs = numbered.groupBy(*by, "_b", "_run", *same).agg(F.min("_at").alias("first"), F.max("_end").alias("end"), F.count(F.lit(1)).alias("n"), F.sum(F.col("_end") - F.col("_at")).alias("length"))
+    runs = runs.withColumn("_top", F.max("_run").over(Window.partitionBy(*by, "_b")))
+    at_edge = (F.col("_run") == 1) | (F.col("_run") == F.col("_top"))
+    out = [*by, *same, "first", "end", "n", "length"]
+    o = Window.partitionBy(*by).orderBy("first")
+    apart = breaks(o, "first", "end") | (F.lag("_b").over(o) == F.col("_b"))
+    edges = runs.where(at_edge).withColumn("_whole", F.sum(apart.cast("long")).over(o))
+    joined = edges.groupBy(*by, "_whole", *same).agg(F.min("first").alias("first"), F.max("end").alias("end"), F.sum("n").alias("n"), F.sum("length").alias("length"))
+    return runs.where(~at_edge).select(*out).unionByName(joined.select(*out))
+
+
+def merge_adjacent(regions: DataFrame, same: list[str], width: int = WIDTH) -> DataFrame:
     """Regions that touch and agree in the columns `same`, as one."""
-    w = Window.partitionBy("inode_id").orderBy("offset")
-    end = F.col("offset") + F.col("length")
-    differs = F.lit(False)
-    for c in same:
-        differs = differs | ~F.col(c).eqNullSafe(F.lag(c).over(w))
-    begins = F.coalesce(F.lag(end).over(w) != F.col("offset"), F.lit(True)) | differs
-    runs = regions.withColumn("_run", F.sum(begins.cast("int")).over(w))
-    return runs.groupBy("inode_id", "_run", *same).agg(F.min("offset").alias("offset"), F.sum("length").alias("length")).drop("_run")
+    runs = _runs(regions, ["inode_id"], "offset", F.col("offset") + F.col("length"), same, True, width)
+    return runs.select("inode_id", *same, F.col("first").alias("offset"), "length")
+
 
+def _next(rows: DataFrame, by: list[str], at: str, width: int) -> DataFrame:
+    """rows with _next: the least greater place of the same object, null for the last; places are different ones."""
+    r = _cut(rows, at, width)
+    firsts = r.groupBy(*by, "_b").agg(F.min(at).alias("_f"))
+    firsts = firsts.select(*by, "_b", F.lead("_f").over(Window.partitionBy(*by).orderBy("_b")).alias("_f"))
+    w = Window.partitionBy(*by, "_b").orderBy(at)
+    return r.withColumn("_next", F.lead(at).over(w)).join(firsts, [*by, "_b"], "left").withColumn("_next", F.coalesce("_next", "_f")).drop("_b", "_f")
 
-def ranges_from_starts(starts: DataFrame, total: Column) -> DataFrame:
-    """Half-open ranges from sorted starts: each ends where the next begins, the last at `total`."""
-    w = Window.partitionBy("inode_id").orderBy("offset")
-    return starts.withColumn("length", F.lead("offset").over(w) - F.col("offset")).withColumn("length", F.coalesce("length", total - F.col("offset")))
 
+def previous(rows: DataFrame, by: list[str], at: str, value: str, name: str, width: int = WIDTH) -> DataFrame:
+    """rows with the value of the row before (by `at`, which is unique within an object) as `name`."""
+    r = _cut(rows, at, width)
+    lasts = r.groupBy(*by, "_b").agg(F.max_by(F.struct(value), at).alias("_v"))
+    lasts = lasts.select(*by, "_b", F.lag("_v").over(Window.partitionBy(*by).orderBy("_b")).alias("_v"))
+    w = Window.partitionBy(*by, "_b").orderBy(at)
+    both = r.withColumn(name, F.lag(F.struct(value)).over(w)).join(lasts, [*by, "_b"], "left")
+    return both.withColumn(name, F.coalesce(name, "_v")[value]).drop("_b", "_v")
 
-def islands(places: DataFrame, by: list[str], at: str = "lba") -> DataFrame:
+
+def ranges_from_starts(starts: DataFrame, total: Column, width: int = WIDTH) -> DataFrame:
+    """Half-open ranges from starts: each ends where the next begins, the last at `total`."""
+    ends = _next(starts, ["inode_id"], "offset", width)
+    return ends.withColumn("length", F.coalesce(F.col("_next"), total) - F.col("offset")).drop("_next").select(*starts.columns, "length")
+
+
+def islands(places: DataFrame, by: list[str], at: str = "lba", width: int = WIDTH) -> DataFrame:
     """Runs of consecutive places."""
-    w = Window.partitionBy(*by).orderBy(at)
-    runs = places.select(*by, at).distinct().withColumn("_g", F.col(at) - F.row_number().over(w))
-    return runs.groupBy(*by, "_g").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n")).drop("_g")
+    runs = _runs(places.select(*by, at).distinct(), by, at, F.col(at) + 1, [], True, width)
+    return runs.select(*by, "first", (F.col("end") - 1).alias("last"), "n")
 
 
-def gaps(places: DataFrame, by: list[str], at: str = "lba") -> DataFrame:
+def gaps(places: DataFrame, by: list[str], at: str = "lba", width: int = WIDTH) -> DataFrame:
     """Free stretches between used places."""
-    w = Window.partitionBy(*by).orderBy(at)
-    nxt = places.select(*by, at).distinct().withColumn("_next", F.lead(at).over(w))
+    nxt = _next(places.select(*by, at).distinct(), by, at, width)
     return nxt.where(F.col("_next") > F.col(at) + 1).select(*by, (F.col(at) + 1).alias("first"), (F.col("_next") - 1).alias("last"))
 
 
-def runs_of_equal(rows: DataFrame, by: list[str], at: str, kind: str) -> DataFrame:
+def first_fit(gap: DataFrame, count: int, hint: int = 0) -> DataFrame:
+    """first, last of the free stretch that an allocation of `count` blocks takes: the first from `hint` on that holds them, else the first of all; no row if none does."""
+    fits = gap.where(F.col("last") - F.col("first") + 1 >= count)
+    chosen = fits.agg(F.min(F.struct((F.col("first") < hint).alias("behind"), "first")).alias("c")).where("c IS NOT NULL")
+    return chosen.select(F.col("c.first").alias("first"), (F.col("c.first") + count - 1).alias("last"))
+
+
+def runs_of_equal(rows: DataFrame, by: list[str], at: str, kind: str, width: int = WIDTH) -> DataFrame:
     """Runs of neighbours of one kind."""
-    w = Window.partitionBy(*by).orderBy(at)
-    turned = rows.withColumn("_t", F.coalesce(~F.lag(kind).over(w).eqNullSafe(F.col(kind)) | F.lag(at).over(w).isNull(), F.lit(True)).cast("int"))
-    return turned.withColumn("_g", F.sum("_t").over(w)).groupBy(*by, "_g", kind).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n")).drop("_g")
+    runs = _runs(rows, by, at, F.col(at), [kind], False, width)
+    return runs.select(*by, kind, "first", F.col("end").alias("last"), "n")
+
+
+def runs_within_blocks(places: DataFrame, data_regions: DataFrame, by: list[str], block: int, width: int) -> DataFrame:
+    """by, _block, first, last, n: stretches of places (by, at) outside every data region that do not cross a block's border."""
+    free = outside(places, data_regions, width).withColumn("block", F.floor(F.col("at") / block))
+    runs = _runs(free.select(*by, "at", "block").distinct(), by, "at", F.col("at") + 1, ["block"], True, width)
+    return runs.select(*by, "block", "first", (F.col("end") - 1).alias("last"), "n")
 
 
 def fragmentation(places: DataFrame, by: list[str], at: str = "lba") -> DataFrame:

@@ -9,18 +9,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from vaultlens.functions.lineage import cut
 
 BLOCK_BYTES = 4 * 1024 * 1024
 
 
 def sliced(images: DataFrame) -> DataFrame:
-    """inode_id, sector, sector_size, data, hash for every sector of every image, made row by row without a shuffle."""
+    """inode_id, sector, sector_size, data, hash for every sector of every image, made row by row without a shuffle.
+
+    Text is cut by one pass of a pattern, since the place of a character is only found by counting from the start; bytes
+    are cut by place. Either way the work is linear in an image's length.
+    """
     size = F.col("sector_size")
-    count = F.ceil(F.length("data") / size).cast("int")
-    at = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    rows = images.select("inode_id", "sector_size", "data", F.explode(at).alias("sector"))
-    data = F.substring(F.col("data"), F.col("sector") * size + 1, size)
-    return rows.select("inode_id", F.col("sector").cast("long").alias("sector"), "sector_size", data.alias("data")).withColumn("hash", F.md5(F.col("data").cast("binary")))
+    if isinstance(images.schema["data"].dataType, StringType):
+        each = F.regexp_extract_all(F.col("data"), F.concat(F.lit("(?s).{1,"), size.cast("string"), F.lit("}")), F.lit(0))
+    else:
+        count = F.ceil(F.length("data") / size).cast("int")
+        at = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        each = F.transform(at, lambda k: F.substring(F.col("data"), k * size + 1, size))
+    rows = images.select("inode_id", "sector_size", F.posexplode(each).alias("sector", "data"))
+    return rows.select("inode_id", F.col("sector").cast("long").alias("sector"), "sector_size", "data").withColumn("hash", F.md5(F.col("data").cast("binary")))
 
 
 def sector_map(sectors: DataFrame) -> DataFrame:
@@ -28,26 +38,49 @@ def sector_map(sectors: DataFrame) -> DataFrame:
     return sectors.select("inode_id", "sector", "sector_size", "hash")
 
 
+def new_places(sectors: DataFrame, index: DataFrame) -> DataFrame:
+    """sector_size, hash, first_inode, first_sector of the sectors that the index doesn't know, each once.
+
+    Known ones go before anything is grouped; groups hold numbers only, so they are combined in hash tables on both
+    sides of the shuffle. An object's first sector comes first, then the first object.
+    """
+    unknown = sector_map(sectors).join(index.select("sector_size", "hash"), ["sector_size", "hash"], "left_anti")
+    each = unknown.groupBy("sector_size", "hash", "inode_id").agg(F.min("sector").alias("sector"))
+    return each.groupBy("sector_size", "hash").agg(F.min("inode_id").alias("first_inode"), F.min_by("sector", "inode_id").alias("first_sector"))
+
+
 def new_sectors(sectors: DataFrame, index: DataFrame) -> DataFrame:
-    """sector_size, hash, data, first_inode, first_sector of the sectors that the index doesn't know, each once."""
-    first = sectors.groupBy("sector_size", "hash").agg(F.min(F.struct("inode_id", "sector")).alias("f"), F.first("data").alias("data"))
-    return first.join(index.select("sector_size", "hash"), ["sector_size", "hash"], "left_anti").select("sector_size", "hash", "data", F.col("f.inode_id").alias("first_inode"), F.col("f.sector").alias("first_sector"))
+    """sector_size, hash, data, first_inode, first_sector of the sectors that the index doesn't know, each once; contents are fetched for those alone."""
+    first = new_places(sectors, index)
+    at = first.select("sector_size", "hash", "first_inode", "first_sector", F.col("first_inode").alias("inode_id"), F.col("first_sector").alias("sector"))
+    return at.join(sectors.select("inode_id", "sector", "data"), ["inode_id", "sector"]).select("sector_size", "hash", "data", "first_inode", "first_sector")
 
 
 def placed(new: DataFrame, sector_size: int, start: int = 0) -> DataFrame:
     """new sectors of one size with the block and offset they get when appended in hash order to blocks of 4 MiB.
 
-    Positions come from per-partition counts plus a running total of those counts: the range partitions are numbered,
-    so no window ever gathers all rows in one task.
+    Positions come from per-partition counts plus a running total of those counts. Which row is in which range partition
+    is known for good only once it is written down, so hashes (without contents) are numbered, stored, then counted and joined.
     """
     each = BLOCK_BYTES // sector_size
-    ranged = new.where(F.col("sector_size") == sector_size).repartitionByRange("hash").sortWithinPartitions("hash")
-    numbered = ranged.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    ours = new.where(F.col("sector_size") == sector_size)
+    ranged = ours.select("hash").repartitionByRange("hash").sortWithinPartitions("hash")
+    numbered = cut(ranged.select("hash", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row")))
     sizes = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     # One row a partition, so this window is small however many sectors there are.
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     at = F.col("base") + F.col("row") + F.lit(start)
-    return numbered.join(F.broadcast(before), "part").select("sector_size", "hash", "data", F.floor(at / each).alias("lba"), (F.pmod(at, F.lit(each)) * sector_size).alias("offset"))
+    located = numbered.join(F.broadcast(before), "part").select("hash", F.floor(at / each).alias("lba"), (F.pmod(at, F.lit(each)) * sector_size).alias("offset"))
+    return ours.join(located, "hash").select("sector_size", "hash", "data", "lba", "offset") if "data" in new.columns else located.select(F.lit(sector_size).alias("sector_size"), "hash", "lba", "offset")
+
+
+def backfilled(smap: DataFrame, located: DataFrame) -> DataFrame:
+    """smap with lba and offset filled in from the index (sector_size, hash, lba, offset) where they are missing."""
+    have = {"lba", "offset"} <= set(smap.columns)
+    at = located.select("sector_size", "hash", F.col("lba").alias("_lba"), F.col("offset").alias("_offset"))
+    both = smap.join(at, ["sector_size", "hash"], "left")
+    lba, offset = (F.coalesce("lba", "_lba"), F.coalesce("offset", "_offset")) if have else (F.col("_lba"), F.col("_offset"))
+    return both.select("inode_id", "sector", "sector_size", "hash", lba.alias("lba"), offset.alias("offset"))
 
 
 def store(sectors: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -55,13 +88,27 @@ def store(sectors: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
     return new_sectors(sectors, index).select("sector_size", "hash", "data"), sector_map(sectors)
 
 
-def rebuilt(smap: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """inode_id, data: images put together again. A sector whose hash the dictionary lacks makes the result null."""
+def sectors_of(smap: DataFrame, dictionary: DataFrame, missing: str = "null") -> DataFrame:
+    """inode_id, sector, data of every mapped sector; one that the dictionary lacks is null, or with missing="error" ends the query."""
+    if missing not in ("null", "error"):
+        raise ValueError(missing)
     found = smap.join(dictionary.select("sector_size", "hash", "data"), ["sector_size", "hash"], "left")
+    lost = F.raise_error(F.concat(F.lit("sector "), F.col("sector").cast("string"), F.lit(" of object "), F.col("inode_id").cast("string"), F.lit(" is missing")))
+    return found.select("inode_id", "sector", F.coalesce("data", lost).alias("data") if missing == "error" else F.col("data"))
+
+
+def rebuilt(smap: DataFrame, dictionary: DataFrame, missing: str = "null") -> DataFrame:
+    """inode_id, data: images put together again, each one row, so for images that fit one; for larger ones take streamed(). A sector whose hash the dictionary lacks makes the result null, or ends the query."""
+    found = sectors_of(smap, dictionary, missing)
     listed = found.groupBy("inode_id").agg(F.sort_array(F.collect_list(F.struct("sector", "data"))).alias("s"), F.count_if(F.col("data").isNull()).alias("lost"))
     return listed.select("inode_id", F.when(F.col("lost") == 0, F.array_join(F.transform("s", lambda x: x["data"]), "")).alias("data"))
 
 
+def streamed(smap: DataFrame, dictionary: DataFrame, missing: str = "error") -> DataFrame:
+    """inode_id, sector, data in order: images of any size, dealt out by ranges of (object, sector), so one image may span many tasks."""
+    return sectors_of(smap, dictionary, missing).repartitionByRange("inode_id", "sector").sortWithinPartitions("inode_id", "sector")
+
+
 def lookup(smap: DataFrame, dictionary: DataFrame) -> DataFrame:
     """The wanted hashes that are known, each looked up once."""
     return smap.select("sector_size", "hash").distinct().join(dictionary, ["sector_size", "hash"])

@@ -33,7 +33,7 @@ def _long_sql(table: str, inode: str, values: dict[str, str]) -> str:
 
 PARTS = _long_sql("part", "p_partkey", {"name": "p_name", "brand": "p_brand", "type": "p_type", "size": "p_size"})
 ORDERS = _long_sql("orders", f"o_orderkey + {model.ORDERS_FROM}", {"status": "o_orderstatus", "priority": "o_orderpriority", "custkey": "o_custkey"})
-_D = "(SELECT doc_id, lang, source, n_chars, substr(text, 1, 250) AS t, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))"
+_D = "(SELECT doc_id, lang, source, n_chars, text AS t, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))"
 DOCUMENTS = _long_sql(_D, f"doc_id + {model.DOCUMENTS_FROM}", {"lang": "lang", "source": "source", "n_chars": "n_chars", "text": "t", "Comments": "t", "quality": "quality", "toxic": "toxic"})
 ALL = f"{PARTS} UNION ALL {ORDERS} UNION ALL {DOCUMENTS}"
 CUSTOMERS = _long_sql("customer", "CASE WHEN c_custkey % 11 = 0 THEN c_custkey + 900000000 ELSE c_custkey + 100000 END", {"segment": "c_mktsegment", "nation": "c_nationkey"})
@@ -324,7 +324,7 @@ SELECT sector_size, hash, f[1] AS first_inode, f[2] AS first_sector FROM f WHERE
 def new_sectors(spark, sf_dir):
     cut = sectors.sliced(model.images(spark, sf_dir))
     index = cut.where("inode_id % 2 = 0").select("sector_size", "hash").distinct()
-    return sectors.new_sectors(cut, index).select("sector_size", "hash", "first_inode", "first_sector")
+    return sectors.new_places(cut, index)
 
 
 @registered(f"WITH {_SECTORS} SELECT DISTINCT sector_size, hash FROM s WHERE substr(hash, 1, 1) = 'a'")
@@ -361,7 +361,7 @@ def append_positions(spark, sf_dir):
 
 @registered("""SELECT DISTINCT 256 AS sector_size, md5(substr(html, k * 256 + 1, 256)) AS hash FROM (SELECT html, unnest(range(CAST(ceil(length(html) / 256) AS BIGINT))) AS k FROM pages)""")
 def page_dictionary(spark, sf_dir):
-    return sectors.new_sectors(sectors.sliced(model.page_images(spark, sf_dir)), spark.createDataFrame([], "sector_size int, hash string")).select("sector_size", "hash")
+    return sectors.new_places(sectors.sliced(model.page_images(spark, sf_dir)), spark.createDataFrame([], "sector_size int, hash string")).select("sector_size", "hash")
 
 
 # Intervals
@@ -611,7 +611,7 @@ def export_jsonl(spark, sf_dir):
     return export.json_lines(_named(spark, sf_dir), ["brand", "size"])
 
 
-@registered("""SELECT doc_id || ',' || CASE WHEN regexp_matches(t, '[,"\\n\\r]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END AS value FROM (SELECT doc_id, substr(text, 1, 80) AS t FROM documents)""")
+@registered("""SELECT doc_id || ',' || CASE WHEN regexp_matches(t, '[,"\\n\\r]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END AS value FROM (SELECT doc_id, text AS t FROM documents)""")
 def export_csv(spark, sf_dir):
     return export.csv_lines(model.read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t")))
 

@@ -1,8 +1,11 @@
 """Incremental ingestion with Structured Streaming: every micro-batch of images adds what is new, and nothing twice.
 
-The state of "which sectors are known" is the stored dictionary itself, read with an anti-join, so it has no size limit
-and survives restarts. A batch writes to a folder of its own number and overwrites it when it is repeated, which makes
-the sink exact once; readers see the union of the folders.
+ingest() keeps "which sectors are known" in the stored dictionary itself, read with an anti-join: right where batches are
+large beside the dictionary's hashes. A batch writes to a folder of its own number and overwrites it when it is repeated,
+which makes the sink exact once; readers see the union of the folders.
+
+ingest_stateful() keeps the known hashes in a state store on disk, dealt out by hash, so that a batch costs what it
+holds and not what was stored before: right for many small batches.
 """
 
 from __future__ import annotations
@@ -42,6 +45,20 @@ def ingest(images: DataFrame, base: str, checkpoint: str, available_now: bool =
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def ingest_stateful(images: DataFrame, base: str, checkpoint: str, available_now: bool = True) -> list[StreamingQuery]:
+    """Starts ingesting a stream of images to base/dictionary and base/map, each by a query of its own; both write a file once."""
+    spark = images.sparkSession
+    _prepare(spark, base)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    cut, none = sectors.sliced(images), F.lit(None).cast("long").alias("batch")
+    parts = {"dictionary": cut.dropDuplicates(["sector_size", "hash"]).select("sector_size", "hash", "data", none), "map": sectors.sector_map(cut).select("*", none)}
+    out = []
+    for name, part in parts.items():
+        writer = part.writeStream.format("parquet").outputMode("append").option("path", f"{base}/{name}/stream").option("checkpointLocation", f"{checkpoint}/{name}")
+        out.append((writer.trigger(availableNow=True) if available_now else writer).start())
+    return out
+
+
 def stored(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     """The dictionary and the sector map of all batches."""
     d = spark.read.schema(DICTIONARY).option("recursiveFileLookup", "true").parquet(f"{base}/dictionary").drop("batch")
