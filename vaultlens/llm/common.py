@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 from pathlib import Path
@@ -11,6 +10,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vaultlens.functions.lineage import cut, shared_dir
+
+__all__ = ["cut", "shared_dir"]
+
 #: Fixed value: the white space that separates words.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
@@ -28,32 +31,38 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; only where it is unset (tests), a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='vaultlens-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row, even where body's lambdas refer to it many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, stored reliably in the shared folder: its lineage ends here, and losing executors loses nothing."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+#: Folders that this driver has made in the shared folder; what was read from them may still be lazy.
+_MADE: list[str] = []
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once a row, even where body's lambdas refer to it many times."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def folder(spark: SparkSession, kind: str) -> str:
+    """A new folder's path in the shared folder, remembered for release()."""
+    _MADE.append(f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def made() -> int:
+    """How many folders there are: a mark for release()."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the folders made since a mark. Call it when every result that is computed from them has been written."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [p for p in _MADE[since:] if p not in keep]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(hadoop).delete(where, True)
+        _MADE.remove(path)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: like cut(), for tables that are large or read column by column."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, folder(df.sparkSession, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

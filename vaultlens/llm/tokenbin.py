@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import re
 import struct
-import uuid
 from array import array
 from collections.abc import Iterator
 
@@ -28,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vaultlens.llm.common import cut, shared_dir, ship
+from vaultlens.llm.common import cut, ship
+from vaultlens.llm.common import folder as new_folder
 
 MAGIC = b"VLTOK001"
 BLOCK = 4096
@@ -203,7 +203,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: int, end_id: int, folde
     """Writes the files; the manifest: part, file, docs, tokens, start (tokens of all files before)."""
     spark: SparkSession = docs.sparkSession
     ship(spark)
-    folder = (folder or f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}").replace("file:///", "file:/").replace("file:/", "file:///")
+    folder = (folder or new_folder(spark, "tokens")).replace("file:///", "file:/").replace("file:/", "file:///")
     bits = max(1, (vocabulary - 1).bit_length())
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
