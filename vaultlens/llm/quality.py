@@ -4,17 +4,19 @@ Measures of a text are whole numbers, so every rule is a comparison of two integ
 run it agree exactly. Rows are judged one by one: no shuffle, no state, any number of partitions.
 
 Defined results: a null, empty or blank text has no words and is rejected; repeated rows are judged alike; an empty
-table gives an empty table; extra columns pass through, and helper names avoid theirs.
+table gives an empty table; extra columns pass through, and helper names avoid theirs. Stop words count whatever the
+case of their ASCII letters.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vaultlens.llm.common import SPACE_CHARS, fresh, let, words
+from vaultlens.llm.common import SPACE_CHARS, ascii_lower, fresh, let, words
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = {
@@ -80,14 +82,9 @@ def _repeat_words(ws: Column, width: int = 3) -> Column:
     return let(ws, body)
 
 
-def measured(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
-    """df with the measures of its text; the names they got."""
-    names = dict(zip(("_w", "_l", *MEASURES), fresh(df, "_w", "_l", *MEASURES), strict=True))
-    t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
+def _of_text(t: Column, w: Column, lines: Column) -> dict[str, Column]:
+    """The measures of a text, its words and its lines that hold a word."""
     stop = sorted({x for ws in STOP_WORDS.values() for x in ws})
-    df = df.withColumns({names["_w"]: words(F.col(text)), names["_l"]: lines})
-    w, lines = F.col(names["_w"]), F.col(names["_l"])
     out = {
         "n_words": F.size(w),
         "word_chars": F.length(F.translate(t, SPACE_CHARS, "")),
@@ -95,9 +92,25 @@ def measured(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, st
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": _repeat_words(w),
         "n_lines": F.size(lines),
-        "n_stop_words": F.size(F.filter(w, lambda x: F.rtrim(x, F.lit(".,")).isin(stop))),
+        "n_stop_words": F.size(F.filter(w, lambda x: ascii_lower(F.rtrim(x, F.lit(".,"))).isin(stop))),
     }
-    return df.withColumns({names[k]: v.cast("long") for k, v in out.items()}).drop(names["_w"], names["_l"]), names
+    return {k: v.cast("long") for k, v in out.items()}
+
+
+def _text(text: str) -> Column:
+    return F.coalesce(F.col(text), F.lit(""))
+
+
+def _lines(t: Column) -> Column:
+    return F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
+
+
+def measured(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
+    """df with the measures of its text; the names they got."""
+    names = dict(zip(("_w", "_l", *MEASURES), fresh(df, "_w", "_l", *MEASURES), strict=True))
+    df = df.withColumns({names["_w"]: words(F.col(text)), names["_l"]: _lines(_text(text))})
+    out = _of_text(_text(text), F.col(names["_w"]), F.col(names["_l"]))
+    return df.withColumns({names[k]: v for k, v in out.items()}).drop(names["_w"], names["_l"]), names
 
 
 def judged(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
@@ -116,9 +129,25 @@ def judged(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, b
     return df.withColumns({k: F.size(F.col(r)) == 0})
 
 
-def quality_filter(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def _rejected(text: str, rules: tuple[Rule, ...]) -> Column:
+    """Whether a rule rejects a text, as one expression: words, lines and measures are bound once, so a filter on it that
+    the optimiser moves takes nothing apart."""
+    used = {m for r in rules for m in (r.measure, r.per) if m}
+
+    def verdict(w: Column, lines: Column) -> Column:
+        own = F.struct(*[v.alias(k) for k, v in _of_text(_text(text), w, lines).items() if k in used])
+        return let(own, lambda m: reduce(lambda x, y: x | y, [r.rejects(lambda k: m[k]) for r in rules], F.lit(False)))
+
+    return let(words(F.col(text)), lambda w: let(_lines(_text(text)), lambda lines: verdict(w, lines)))
+
+
+def quality_filter(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
     """The rows of df that no rule rejects, with df's own columns."""
-    own = df.columns
-    out = judged(df, text, rules)
-    kept = out.columns[-1]
-    return out.where(F.col(kept)).select(*[F.col(f"`{c}`") for c in own])
+    return df.where(~_rejected(text, (*base, *rules)))
+
+
+def rejections(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
+    """rule, n: how many rows each rule rejects; a row that several reject counts for each."""
+    out = judged(df, text, rules, base)
+    by = out.columns[-2]
+    return out.select(F.explode(F.col(f"`{by}`")).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))

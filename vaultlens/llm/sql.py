@@ -22,7 +22,7 @@ p AS (SELECT DISTINCT doc_id, i + k AS p FROM c, (SELECT unnest([0, 1, 2]) AS k)
 r AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id),
 m AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '{SPACE}', '', 'g')) AS word_chars,
              length(t) - length(regexp_replace(t, '{symbols}', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
-             coalesce(r.n, 0) AS n_repeat_words, len(l) AS n_lines, len(list_filter(w, lambda x: rtrim(x, '.,') IN ({stop}))) AS n_stop_words
+             coalesce(r.n, 0) AS n_repeat_words, len(l) AS n_lines, len(list_filter(w, lambda x: translate(rtrim(x, '.,'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') IN ({stop}))) AS n_stop_words
       FROM d LEFT JOIN r USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({base}) AS base_failed, NOT ({every}) AS kept FROM m"""
 
