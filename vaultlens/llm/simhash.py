@@ -4,8 +4,8 @@ Fingerprints are made text by text in numpy. Equal ones are merged first (one no
 number of copies), so ids that repeat or are missing neither link nor part anything. A fingerprint is cut into BLOCKS parts; two that differ in at most MAX_BITS bits agree in all parts but
 MAX_BITS, so for each choice of parts to keep, equal kept bits make a bucket. Buckets are counted before anything is
 gathered: a bucket of two is a pair; one of up to BUCKET nodes is searched in one task, which returns links that span
-what it connects, never all pairs; nodes of larger buckets go to finer buckets (FINE parts, so that at most 16 bits
-are free and no bucket can hold more than 65,536 distinct fingerprints). Nothing is capped or dropped.
+what it connects, never all pairs; nodes of larger buckets go to finer buckets (FINE equal parts of four bits, so 12 bits
+are free and no bucket can hold more than 4,096 distinct fingerprints). Nothing is capped or dropped.
 
 Defined results: null and empty texts have the fingerprint zero, which links like any other; texts of one or two
 words have one shingle, the whole text; a null id is a document like any other and sorts last (it names a component
@@ -30,7 +30,7 @@ from vaultlens.llm.components import components
 
 MAX_BITS = 3
 BLOCKS = 6
-FINE = 12
+FINE = 16
 BUCKET = 2048
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -165,14 +165,14 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Rows are known by id and hash of the text, so rows that share an id, or have none, are judged each by its own text.
     What goes is joined, not what stays: it is the shorter list, and while it is short, texts are not shuffled.
     """
-    key, place = fresh(docs, "_key", "_place")
+    key, place, gone_id, gone_t = fresh(docs, "_key", "_place", "_id", "_t")
     marked = cut(with_fingerprints(docs.withColumn(key, F.xxhash64(text)), doc_id, text, key).withColumnRenamed(key, "t"))
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "t")
     rows = marked.join(_rooted(marked).select("fp", "root"), "fp").select("root", rank.alias("row"))
     many = sized(rows.groupBy("root").agg(F.min("row").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "keep"))
     judged = cut(rows.join(many, "root").groupBy("row", "keep").agg(F.count(F.lit(1)).alias("n")).where("row <> keep OR n > 1"))
-    gone = sized(judged.where("row <> keep").select(F.col("row.id").alias("_id"), F.col("row.t").alias("_t")))
-    out = docs.withColumn(key, F.xxhash64(text)).join(gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col(key) == F.col("_t")), "left_anti")
+    gone = sized(judged.where("row <> keep").select(F.col("row.id").alias(gone_id), F.col("row.t").alias(gone_t)))
+    out = docs.withColumn(key, F.xxhash64(text)).join(gone, F.col(doc_id).eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_t)), "left_anti")
     if judged.where("row = keep").isEmpty():
         return out.drop(key)
     first = Window.partitionBy(doc_id, key).orderBy(text, *[c for c in docs.columns if c not in (doc_id, text)])
