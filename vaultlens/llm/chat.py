@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 from vaultlens.llm.common import let
 
+#: Turns whose lengths are added up as one block.
+BLOCK = 64
+
 
 @dataclass(frozen=True)
 class Template:
@@ -54,15 +57,29 @@ def format_chats(turns: DataFrame, template: Template = Template()) -> DataFrame
         return F.transform(ts, one)
 
     def laid_out(ps: Column) -> Column:
-        def add(acc: Column, p: Column) -> Column:
-            start = acc["at"] + F.octet_length(p["head"])
-            size = F.octet_length(p["body"])
-            span = F.struct(start.alias("start"), size.alias("length"))
-            return F.struct((start + size).alias("at"), F.when(p["learn"] & (size > 0), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-        empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+        n = F.size(ps)
         text = F.concat(F.array_join(F.transform(ps, lambda p: F.concat(p["head"], p["body"])), ""), F.lit(t.end))
-        return F.struct(text.alias("formatted"), F.aggregate(ps, empty, add)["spans"].alias("loss_spans"))
+        sizes = F.transform(ps, lambda p: F.octet_length(p["head"]) + F.octet_length(p["body"]))
+
+        def total(xs: Column) -> Column:
+            return F.aggregate(xs, F.lit(0), lambda acc, x: acc + x)
+
+        def spans(sizes: Column, sums: Column) -> Column:
+            def one(p: Column, i: Column) -> Column:
+                b = F.floor(i / BLOCK).cast("int")
+                before = F.get(sums, b) + total(F.slice(sizes, b * BLOCK + 1, i - b * BLOCK))
+                return F.struct((before + F.octet_length(p["head"])).alias("start"), F.octet_length(p["body"]).alias("length"), p["learn"].alias("learn"))
+
+            kept = F.filter(F.transform(ps, one), lambda s: s["learn"] & (s["length"] > 0))
+            return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
+
+        def summed(sizes: Column) -> Column:
+            # Running sums by blocks of turns: those of whole blocks here, those since the last block at each turn.
+            blocks = F.transform(F.sequence(F.lit(0), F.floor(n / BLOCK).cast("int")), lambda b: total(F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK))))
+            sums = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+            return let(sums, lambda done: spans(sizes, done))
+
+        return F.struct(text.alias("formatted"), let(sizes, summed).alias("loss_spans"))
 
     out = grouped.select("conv_id", let(let(F.col("ts"), piece), laid_out).alias("o"))
     return out.select("conv_id", F.col("o.formatted").alias("formatted"), F.col("o.loss_spans").alias("loss_spans"))
