@@ -4,8 +4,12 @@ Each language has a probability for every piece of the vocabulary. A word's prob
 all ways to cut it into pieces, of the product of their probabilities (the forward algorithm); a text's is the product
 over its words. Probabilities are fitted by expectation-maximisation on words counted in a bounded sample of labelled
 texts: every language gets whole texts up to an expected SAMPLE_TEXTS, chosen by a hash of the row, so the fit costs
-the same on any corpus. The model is pieces x languages numbers, a bound that the vocabulary file and MAX_LANGS set,
-and is broadcast. Scoring goes over every whole text, row by row, without a shuffle.
+the same on any corpus. All their words teach; a word of more than PART letters teaches as consecutive parts of so many,
+but is scored over all its segmentations like any other (in logarithms, a stretch of letters at a time). The model is
+pieces x languages numbers, a bound that the vocabulary file and MAX_LANGS set (more languages are an error), and is
+broadcast. Scoring goes over every whole text, row by row, without a shuffle.
+
+A word is a run of letters (Unicode's category L), in the fit as in scoring; marks, digits and other numbers aren't letters.
 
 Defined results: null texts and texts without a letter are "und" with score 0; ties go to the first language in name
 order; rows without a language don't teach; if there is no labelled text every other text is "und" with score 0;
@@ -14,28 +18,28 @@ repeated rows are scored alike; extra columns pass through, and columns that hav
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultlens.llm.common import fresh, ship
 
-#: Labelled texts of each language that the fit sees, as expected; languages it tells apart; rounds of the fit.
-SAMPLE_TEXTS = 1500
+#: Labelled texts of each language that the fit sees, as expected; languages it tells apart at most; rounds of the fit.
+SAMPLE_TEXTS = 600
 MAX_LANGS = 64
 ROUNDS = 3
-#: Different words of the sample that the fit sees: the most frequent of each language. Scoring has no such bound.
-FIT_WORDS = 10_000
 CACHE_WORDS = 600_000
 #: Words whose lattices are laid out together.
 TOGETHER = 20_000
-#: Letters of a word scored at a time; longer words are scored as consecutive parts of so many letters.
+#: Letters of a word that is scored in one piece; longer ones are scored STRETCH letters at a time, GROUP words together.
 PART = 24
-_WORD = re.compile(r"[^\W\d_]+")
+STRETCH = 512
+GROUP = 1024
+_WORD = regex.compile(r"\p{L}+")
 
 
 class Pieces:
@@ -45,10 +49,10 @@ class Pieces:
 
     def __init__(self, pieces: list[str]) -> None:
         self.pieces = pieces
-        self.longest = min(PART, max(map(len, pieces), default=1))
+        self.longest = max(map(len, pieces), default=1)
         self.powers = [np.uint64(1)]
         with np.errstate(over="ignore"):
-            for _ in range(PART):
+            for _ in range(self.longest):
                 self.powers.append(self.powers[-1] * self.BASE)
             self.by_length = {}
             for n in range(1, self.longest + 1):
@@ -67,33 +71,66 @@ class Pieces:
     def matches(self, words: list[str]) -> tuple[np.ndarray, dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]]:
         """Lengths of the words, and for each (end, length) the words and pieces that match there; piece 0 is any other letter."""
         size = np.array([len(w) for w in words], np.int64)
-        codes = np.array(words, dtype=f"U{PART}").view(np.uint32).reshape(-1, PART).astype(np.uint64)
+        most = max(1, int(size.max(initial=0)))
+        codes = np.array(words, dtype=f"U{most}").view(np.uint32).reshape(-1, most).astype(np.uint64)
         out = {}
         with np.errstate(over="ignore"):
-            sums = np.zeros((len(words), PART + 1), np.uint64)
-            for k in range(PART):
+            sums = np.zeros((len(words), most + 1), np.uint64)
+            for k in range(most):
                 sums[:, k + 1] = sums[:, k] * self.BASE + codes[:, k]
-            for n in range(1, self.longest + 1):
+            inside = [np.flatnonzero(size >= j) for j in range(most + 1)]
+            for n in range(1, min(most, self.longest) + 1):
                 table = self.by_length.get(n)
-                for j in range(n, int(size.max(initial=0)) + 1):
-                    inside = np.flatnonzero(size >= j)
-                    if table is None and n > 1:
-                        continue
-                    piece = np.zeros(len(inside), np.int64)
+                if table is None and n > 1:
+                    continue
+                for j in range(n, most + 1):
+                    own = inside[j]
+                    piece = np.zeros(len(own), np.int64)
                     if table is not None:
                         hashes, ids, there = table
-                        h = sums[inside, j] - sums[inside, j - n] * self.powers[n]
+                        h = sums[own, j] - sums[own, j - n] * self.powers[n]
                         maybe = np.flatnonzero(there[(h * self.MIX) >> self.BITS])
                         at = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
                         piece[maybe] = np.where(hashes[at] == h[maybe], ids[at], 0)
-                    keep = np.arange(len(inside)) if n == 1 else np.flatnonzero(piece)
+                    keep = np.arange(len(own)) if n == 1 else np.flatnonzero(piece)
                     if len(keep):
-                        out[j, n] = (inside[keep], piece[keep])
+                        out[j, n] = (own[keep], piece[keep])
         return size, out
 
 
+def long_totals(words: list[str], pieces: Pieces, logs: np.ndarray) -> np.ndarray:
+    """Log-probability of words of any length, all segmentations summed. Of the forward sums only those that a piece can still reach back to are held."""
+    out = np.zeros((len(words), logs.shape[1]))
+    order = sorted(range(len(words)), key=lambda k: len(words[k]))
+    ring = pieces.longest + 1
+    for first in range(0, len(order), GROUP):
+        own = order[first : first + GROUP]
+        group = [words[k] for k in own]
+        size = np.array([len(w) for w in group])
+        alpha = np.full((ring, len(group), logs.shape[1]), -np.inf)
+        alpha[0] = 0
+        for s in range(0, int(size.max()), STRETCH):
+            lead = min(s, pieces.longest - 1)
+            _, at = pieces.matches([w[s - lead : s + STRETCH] for w in group])
+            by_end: dict[int, list[int]] = {}
+            for j, n in at:
+                by_end.setdefault(j, []).append(n)
+            for j in range(lead + 1, lead + STRETCH + 1):
+                if j not in by_end:
+                    break
+                end = s - lead + j
+                now = np.full(alpha.shape[1:], -np.inf)
+                for n in by_end[j]:
+                    w, p = at[j, n]
+                    now[w] = np.logaddexp(now[w], alpha[(end - n) % ring][w] + logs[p])
+                alpha[end % ring] = now
+                done = np.flatnonzero(size == end)
+                out[np.array(own)[done]] = now[done]
+    return out
+
+
 class Lattice:
-    """All ways to cut a list of words (of PART letters at most) into pieces."""
+    """All ways to cut a list of words (of PART letters at most, so that no probability vanishes) into pieces."""
 
     def __init__(self, words: list[str], pieces: Pieces) -> None:
         self.size, self.at = pieces.matches(words)
@@ -101,7 +138,7 @@ class Lattice:
 
     def forward(self, prob: np.ndarray) -> np.ndarray:
         """alpha[word, place, language]."""
-        alpha = np.zeros((len(self.size), PART + 1, prob.shape[1]))
+        alpha = np.zeros((len(self.size), max(1, int(self.size.max(initial=0))) + 1, prob.shape[1]))
         alpha[:, 0] = 1
         for j, n in self.order:
             w, p = self.at[j, n]
@@ -130,15 +167,16 @@ class Lattice:
 
 
 def vocabulary(path: str) -> list[str]:
-    """Pieces without their word-start mark, lower case, of letters only and PART of them at most."""
+    """Pieces without their word-start mark, lower case, of letters only."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     every = (sp.id_to_piece(i).lstrip("▁").lower() for i in range(sp.get_piece_size()))
-    return list(dict.fromkeys(p for p in every if p.isalpha() and len(p) <= PART))
+    return list(dict.fromkeys(p for p in every if _WORD.fullmatch(p)))
 
 
 def parts(word: str) -> list[str]:
+    """What a word teaches as."""
     return [word] if len(word) <= PART else [word[k : k + PART] for k in range(0, len(word), PART)]
 
 
@@ -161,13 +199,16 @@ class Model:
     def log_probs(self, words: list[str]) -> np.ndarray:
         """One row for each word; different words are scored once."""
         place: dict[str, int] = {}
-        cut = [[place.setdefault(p, len(place)) for p in parts(w)] for w in words]
+        at = np.array([place.setdefault(w, len(place)) for w in words], np.int64)
         each = np.zeros((len(place), len(self.langs)))
-        todo = list(place)
+        todo = [w for w in place if len(w) <= PART]
         for k in range(0, len(todo), TOGETHER):
-            each[k : k + TOGETHER] = np.log(Lattice(todo[k : k + TOGETHER], self.pieces).totals(self.prob) + 1e-300)
-        flat = each[np.fromiter((i for c in cut for i in c), np.int64)]
-        return np.add.reduceat(flat, np.concatenate(([0], np.cumsum([len(c) for c in cut])[:-1])))
+            some = todo[k : k + TOGETHER]
+            each[[place[w] for w in some]] = np.log(Lattice(some, self.pieces).totals(self.prob))
+        if len(todo) < len(place):
+            long = [w for w in place if len(w) > PART]
+            each[[place[w] for w in long]] = long_totals(long, self.pieces, np.log(self.prob))
+        return each[at]
 
     def _learn(self, new: list[str]) -> None:
         """Runs without white space get a row of the score table; they are scored once while they are remembered."""
@@ -247,17 +288,17 @@ def fit(labelled: DataFrame, path: str, text: str = "text", lang: str = "lang",
     pieces = vocabulary(path)
     chance = F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{c}`") for c in labelled.columns]), 11) / F.lit(float(1 << 53))
     rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l"), chance.alias("c")).where("t IS NOT NULL AND l IS NOT NULL")
-    sizes = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGS).collect()
+    sizes = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGS + 1).collect()
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages; raise MAX_LANGS for a larger model")
     if not sizes:
         return Model([], pieces, np.zeros((len(pieces) + 1, 0)))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["l"], min(1.0, sample / r["count"]))])
     chosen = rows.where(F.col("c") < share[F.col("l")])
     split = F.explode(F.regexp_extract_all(F.lower("t"), F.lit("(\\p{L}+)"), 1)).alias("w")
-    counted = chosen.select("l", split).groupBy("l", "w").agg(F.count(F.lit(1)).alias("n"))
     langs = sorted(r["l"] for r in sizes)
-    top = counted.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))).where(F.col("r") <= FIT_WORDS)
     by: dict[str, dict[str, int]] = {k: {} for k in langs}
-    for r in top.collect():
+    for r in chosen.select("l", split).groupBy("l", "w").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
         by[r["l"]][r["w"]] = r["n"]
     return fit_counts(langs, by, pieces)
 
