@@ -1,8 +1,9 @@
 """Toxicity: a convolutional text classifier in numpy.
 
 Words are hashed into an embedding table, each as a whole and by its beginnings, and the word's embedding is the sum of
-those; filters of several widths slide over the whole text and their largest responses feed a logistic output. The fit sees a bounded sample of labelled texts (at most SAMPLE_TEXTS of each class,
-as expected, chosen by a hash of the row, none longer than SAMPLE_CHARS), so it costs the same on any corpus. The
+those; filters of several widths slide over the whole text and their largest responses feed a logistic output. The fit
+sees a bounded sample of labelled texts, whole ones (at most SAMPLE_TEXTS of each class, as expected, chosen by a hash of
+the row), so it costs the same on any corpus. The
 embedding's first coordinate starts at a quarter of the class log-odds of its bucket; all weights are then trained with Adagrad.
 On a part of the sample set aside, a threshold is set for each language; scores are stretched so that a language's
 threshold stands at CUT. The language is guessed from the text's function words, never read from a column.
@@ -10,8 +11,9 @@ threshold stands at CUT. The language is guessed from the text's function words,
 Scoring keeps the embeddings of the words a worker remembers, so a text costs lookups, one matrix product and maxima. The model's size is fixed (BUCKETS x DIM and the filters), and it is broadcast.
 
 Defined results: null, empty and blank texts have no words, all features are 0, and they get the score of that; repeated
-rows are scored alike; with labels of one class only, or none, every score is 0; texts of any length are scored whole;
-extra columns pass through.
+rows are scored alike; with labels of one class only, or none, every score is 0; an id that is labelled both ways
+teaches nothing; texts of any length are scored whole; extra columns pass through, but one that has the result's name is
+replaced.
 """
 
 from __future__ import annotations
@@ -27,9 +29,8 @@ from pyspark.sql import functions as F
 from vaultlens.llm.common import ship
 from vaultlens.llm.quality import STOP_WORDS
 
-#: Bounds of the fit.
+#: Labelled texts of each class that the fit sees, as expected.
 SAMPLE_TEXTS = 2000
-SAMPLE_CHARS = 20_000
 #: The model.
 BUCKETS = 1 << 15
 DIM = 16
@@ -94,12 +95,13 @@ class Lexicon:
         return [self.LANGS[int(h.argmax())] if h.any() else "" for h in hits]
 
 
-def laid_out(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All words in a row, every document followed by padding; the places where documents start and end, in turn."""
+def laid_out(docs: list[np.ndarray], places: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All words in a row, every document followed by padding; the places where the windows of each start and end, in turn.
+    places: at how many of its words windows start, where a document is a part that another one continues."""
     gap = np.zeros(max(WIDTHS), np.int32)
     parts, at, edges = [], 0, []
-    for d in docs:
-        edges += [at, at + len(d)]
+    for k, d in enumerate(docs):
+        edges += [at, at + (places[k] if places else len(d))]
         parts += [d, gap]
         at += len(d) + len(gap)
     return np.concatenate(parts), np.array(edges)
@@ -134,9 +136,9 @@ class Model:
             out += products[k : k + n, first + k * FILTERS : first + (k + 1) * FILTERS]
         return out
 
-    def features(self, docs: list[np.ndarray], embedded: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    def features(self, docs: list[np.ndarray], embedded: np.ndarray, weights: np.ndarray, places: list[int] | None = None) -> np.ndarray:
         """embedded: the embeddings of the lexicon's rows."""
-        flat, edges = laid_out(docs)
+        flat, edges = laid_out(docs, places)
         products = embedded[flat] @ weights
         empty = edges[::2] == edges[1::2]
         out = []
@@ -151,20 +153,23 @@ class Model:
         feats = np.zeros((len(docs), len(WIDTHS) * FILTERS), np.float32)
         group: list[np.ndarray] = []
         owners: list[int] = []
+        places: list[int] = []
         held, weights = 0, self.weights()
 
         def flush() -> None:
             nonlocal held
             if group:
-                np.maximum.at(feats, owners, self.features(group, embedded, weights))
+                np.maximum.at(feats, owners, self.features(group, embedded, weights, places))
             group.clear()
+            places.clear()
             owners.clear()
             held = 0
 
         for k, d in enumerate(docs):
-            for s in range(0, max(1, len(d) - max(WIDTHS) + 1), STRIDE):
+            for s in range(0, max(1, len(d)), STRIDE):
                 group.append(d[s : s + STRIDE + max(WIDTHS) - 1])
                 owners.append(k)
+                places.append(min(STRIDE, len(d) - s))
                 held += len(group[-1])
                 if held >= STRIDE:
                     flush()
@@ -312,7 +317,7 @@ class Scorer:
         marks = np.zeros(len(Lexicon.LANGS), np.int64)
         for s in range(0, len(words), STRIDE):
             rows = self._rows(words[s : s + STRIDE + max(WIDTHS) - 1])
-            best = np.maximum(best, m.features([rows], self.embedded, self.weights)[0])
+            best = np.maximum(best, m.features([rows], self.embedded, self.weights, [min(STRIDE, len(words) - s)])[0])
             marks += self.lexicon.marks[rows[:STRIDE]].sum(axis=0)
         p = 1 / (1 + np.exp(-np.clip(best @ m.out + m.base, -30, 30)))
         return float(m.stretched(np.array([float(p)]), [Lexicon.LANGS[int(marks.argmax())] if marks.any() else ""])[0])
@@ -320,7 +325,7 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learns from the labels' rows; docs hold their texts."""
-    marked = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where("i IS NOT NULL AND y IN (0, 1)").dropDuplicates(["i"])
+    marked = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where("i IS NOT NULL AND y IN (0, 1)").groupBy("i").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").select("i", "y")
     sizes = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
     model = Model()
     if len(sizes) < 2:
@@ -329,8 +334,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     bound = F.when(F.col("y") == 1, min(1.0, SAMPLE_TEXTS / sizes[1])).otherwise(min(1.0, SAMPLE_TEXTS / sizes[0]))
     # At most some 2 x SAMPLE_TEXTS pairs of numbers, by the rates above, so they are broadcast.
     chosen = F.broadcast(marked.where(chance < bound))
-    short = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).where(F.length("t") <= SAMPLE_CHARS)
-    rows = sorted(short.join(chosen, "i").select("i", "t", "y").collect(), key=lambda r: (r["i"], r["t"]))
+    texts = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).where("t IS NOT NULL")
+    rows = sorted(texts.join(chosen, "i").select("i", "t", "y").collect(), key=lambda r: (r["i"], r["t"]))
     lexicon = Lexicon()
     split = [r["t"].lower().split() for r in rows]
     y = np.array([r["y"] for r in rows], float)
