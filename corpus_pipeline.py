@@ -12,13 +12,11 @@ operator; nulls, ties, repeated rows, empty tables and extra columns are as its
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultlens.llm import bpe, decontam, linededup, quality, simhash
-from vaultlens.llm.common import fresh, shared_dir, ship, table
+from vaultlens.llm.common import folder, fresh, made, release, ship, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,11 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """The last stage's rows. When a stage is written, what it read and what its operator stored on the way is deleted."""
+    docs, before = table(spark, sf_dir, "documents"), made()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs.write.parquet(f"{base}/{k}-{name}")
-            docs = spark.read.parquet(f"{base}/{k}-{name}")
+            path = folder(spark, f"pipeline-{k}-{name}")
+            docs.write.parquet(path)
+            release(spark, before, keep=(path,))
+            docs = spark.read.parquet(path)
     return docs
