@@ -115,25 +115,134 @@ def edc(data: Column) -> Column:
     return per_row(data, "long", lambda rows: edc_of(rows).astype(np.int64).tolist())
 
 
-def suffix_is_regenerable(raw: Column) -> Column:
-    """Whether a raw mode 1 sector's last 288 bytes are what its data gives: code, zeros, parity."""
-
+def _suffix(heads: np.ndarray, form1: bool) -> np.ndarray:
+    """What follows the data of raw sectors, from their bytes up to there. Mode 1: code, eight zeros, parity; mode 2 form 1: code over subheader and data, parity with the address left out."""
+    n = len(heads)
+    code = edc_of(heads[:, 16:] if form1 else heads).view(np.uint8).reshape(-1, 4)
+    gap = np.zeros((n, 0 if form1 else 8), np.uint8)
+    whole = np.concatenate((heads, code, gap, np.zeros((n, 276), np.uint8)), axis=1)
+    if form1:
+        whole[:, 12:16] = 0
+    return np.concatenate((code, gap, ecc_of(whole)), axis=1)
+
+
+def _checked(raw: Column, at: int, form1: bool) -> Column:
     def check(rows: np.ndarray) -> list:
         if rows.shape[1] != 2352:
             return [False] * len(rows)
-        code = edc_of(rows[:, :2064]).view(np.uint8).reshape(-1, 4)
-        good = (rows[:, 2064:2068] == code).all(axis=1) & (rows[:, 2068:2076] == 0).all(axis=1)
-        return (good & (rows[:, 2076:] == ecc_of(rows)).all(axis=1)).tolist()
+        return (rows[:, at:] == _suffix(rows[:, :at], form1)).all(axis=1).tolist()
 
     return per_row(raw, "boolean", check)
 
 
+def _made(head: Column, form1: bool) -> Column:
+    return per_row(head, "binary", lambda rows: [bytes(s) for s in _suffix(rows, form1)])
+
+
+def suffix_is_regenerable(raw: Column) -> Column:
+    """Whether a raw mode 1 sector's last 288 bytes are what its data gives."""
+    return _checked(raw, 2064, False)
+
+
+def form1_suffix_is_regenerable(raw: Column) -> Column:
+    """Whether a raw mode 2 form 1 sector's last 280 bytes are what its data gives."""
+    return _checked(raw, 2072, True)
+
+
 def mode1_suffix(head: Column) -> Column:
     """The last 288 bytes of a raw mode 1 sector from its first 2064."""
+    return _made(head, False)
+
+
+def form1_suffix(head: Column) -> Column:
+    """The last 280 bytes of a raw mode 2 form 1 sector from its first 2072."""
+    return _made(head, True)
+
+
+# AES with 128-bit keys in CBC mode without padding (FIPS 197, SP 800-38A), which Spark's aes functions don't offer.
+
+
+def _boxes() -> tuple[np.ndarray, np.ndarray]:
+    """The substitution box from its rule: the inverse in GF(256) over 0x11B, then an affine map; and its inverse."""
+    inverse = np.zeros(256, np.int64)
+    power, x = [], 1
+    for _ in range(255):
+        power.append(x)
+        x ^= (x << 1) ^ (0x11B if x & 0x80 else 0)
+    for k, v in enumerate(power):
+        inverse[v] = power[-k % 255]
+    turned = [(inverse << k | inverse >> (8 - k)) & 255 for k in range(5)]
+    box = np.bitwise_xor.reduce(turned) ^ 0x63
+    back = np.zeros(256, np.uint8)
+    back[box] = np.arange(256)
+    return box.astype(np.uint8), back
+
+
+_BOX, _BACK = _boxes()
+#: Byte k of a state is taken from here when rows are shifted; and back.
+_SHIFT = np.array([(k + 4 * (k % 4)) % 16 for k in range(16)])
+_UNSHIFT = np.argsort(_SHIFT)
+
+
+def _doubled(x: np.ndarray) -> np.ndarray:
+    return (x << 1) ^ np.where(x & 0x80, 0x1B, 0).astype(np.uint8)
+
+
+def _mixed(state: np.ndarray, by: tuple[int, int, int, int]) -> np.ndarray:
+    """Columns multiplied by a circulant of small numbers."""
+    cells = state.reshape(-1, 4, 4)
+    twice = [cells]
+    for _ in range(3):
+        twice.append(_doubled(twice[-1]))
+    times = [np.bitwise_xor.reduce([twice[b] for b in range(4) if m >> b & 1]) for m in by]
+    return np.bitwise_xor.reduce([np.roll(t, -k, axis=2) for k, t in enumerate(times)]).reshape(-1, 16)
+
+
+def _round_keys(key: bytes) -> np.ndarray:
+    words, r = [np.frombuffer(key, np.uint8)[k : k + 4] for k in range(0, 16, 4)], np.uint8(1)
+    for k in range(4, 44):
+        w = words[-1]
+        if k % 4 == 0:
+            w = _BOX[np.roll(w, -1)] ^ np.array([r, 0, 0, 0], np.uint8)
+            r = _doubled(np.array([r], np.uint8))[0]
+        words.append(words[-4] ^ w)
+    return np.concatenate(words).reshape(11, 16)
+
+
+def _encrypted(state: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    state = state ^ keys[0]
+    for k in range(1, 10):
+        state = _mixed(_BOX[state][:, _SHIFT], (2, 3, 1, 1)) ^ keys[k]
+    return _BOX[state][:, _SHIFT] ^ keys[10]
+
+
+def _decrypted(state: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    state = _BACK[(state ^ keys[10])[:, _UNSHIFT]]
+    for k in range(9, 0, -1):
+        state = _BACK[_mixed(state ^ keys[k], (14, 11, 13, 9))[:, _UNSHIFT]]
+    return state ^ keys[0]
+
+
+def aes_cbc(data: bytes, key: bytes, iv: bytes, decrypt: bool) -> bytes:
+    """data of whole blocks of 16 bytes; decryption takes all blocks at a time."""
+    if len(data) % 16 or len(key) != 16 or len(iv) != 16:
+        raise ValueError("whole blocks, a key and a start of 16 bytes are needed")
+    blocks, keys = np.frombuffer(data, np.uint8).reshape(-1, 16), _round_keys(key)
+    before = np.frombuffer(iv, np.uint8)[None]
+    if decrypt:
+        return (_decrypted(blocks, keys) ^ np.concatenate((before, blocks))[: len(blocks)]).tobytes()
+    out = []
+    for b in blocks:
+        before = _encrypted(b[None] ^ before, keys)
+        out.append(before)
+    return b"".join(x.tobytes() for x in out)
+
+
+def aes(data: Column, key: Column, iv: Column, decrypt: bool = True) -> Column:
+    """Rows of whole blocks, each with its key and start; null where one of them is."""
 
-    def make(rows: np.ndarray) -> list:
-        code = edc_of(rows).view(np.uint8).reshape(-1, 4)
-        whole = np.concatenate((rows, code, np.zeros((len(rows), 284), np.uint8)), axis=1)
-        return [bytes(c) + bytes(8) + bytes(e) for c, e in zip(code, ecc_of(whole), strict=True)]
+    @F.pandas_udf("binary")
+    def run(d: pd.Series, k: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None or z is None else aes_cbc(bytes(x), bytes(y), bytes(z), decrypt) for x, y, z in zip(d, k, v, strict=True)], dtype=object)
 
-    return per_row(head, "binary", make)
+    return run(data.cast("binary"), key.cast("binary"), iv.cast("binary"))

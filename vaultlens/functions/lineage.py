@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +25,18 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """df with the place (from 0) of each row in the order of `by`, which should be unique.
+
+    Rows are sorted in range partitions and numbered there; positions come from the partitions' counts. Which row is in
+    which partition is known for good only once it is written down, so the numbered rows are stored before they are counted.
+    """
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    kept = cut(ranged.withColumns({"_part": F.spark_partition_id(), "_row": row}))
+    sizes = kept.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    # One row a partition, so this window is small however many rows there are.
+    before = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    return kept.join(F.broadcast(before), "_part").withColumn(name, F.col("_base") + F.col("_row")).drop("_part", "_row", "_base")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -61,6 +62,54 @@ def table_lines(wide: DataFrame) -> Iterator[str]:
         yield "  ".join(r[c].ljust(size[c]) for c in text.columns).rstrip()
 
 
+def _width(df: DataFrame, c: str) -> int:
+    return df.agg(F.coalesce(F.max(F.octet_length(c)), F.lit(0)).alias("n")).first()["n"]
+
+
+def distinct_lines(values: DataFrame, form: str = "txt") -> DataFrame:
+    """value: the lines of a DISTINCT result, in order of values; json: the entries of its list."""
+    v = F.col("value") if form == "txt" else F.to_json(F.array("value"))
+    return values.orderBy("value").select((v if form == "txt" else F.substring(v, F.lit(2), F.length(v) - 2)).alias("value"))
+
+
+def group_lines(groups: DataFrame, form: str = "txt") -> DataFrame:
+    """value: the lines of a GROUP BY result (value, n), values padded to the widest; json: the entries of its list."""
+    if form == "txt":
+        pad = F.repeat(F.lit(" "), F.lit(_width(groups, "value")) - F.octet_length("value"))
+        return groups.orderBy("value").select(F.concat(F.lit("  "), "value", pad, F.lit("  "), F.col("n").cast("string")).alias("value"))
+    return groups.orderBy("value").select(F.to_json(F.struct("value", F.col("n").alias("count"))).alias("value"))
+
+
+def document(key: str, counted: str, listed: str, items: DataFrame) -> Iterator[str]:
+    """The pieces of {"key": key, counted: n, listed: [...]} around json items, which stream to the driver a partition at a time."""
+    yield f'{{"key": {json.dumps(key, ensure_ascii=False)}, "{counted}": {items.count()}, "{listed}": ['
+    for i, r in enumerate(items.toLocalIterator()):
+        yield ("," if i else "") + r["value"]
+    yield "]}"
+
+
+def stats_text(stats: DataFrame, key: str, form: str = "txt") -> DataFrame:
+    """value: a STATS result as one text; the average has two decimals and is left out, or null, where nothing was counted."""
+    sign = F.when(F.col("avg_hundredths").startswith("-"), "-").otherwise("")
+    digits = F.lpad(F.ltrim(F.col("avg_hundredths"), F.lit("-")), F.greatest(F.length(F.ltrim(F.col("avg_hundredths"), F.lit("-"))), F.lit(3)), F.lit("0"))
+    avg = F.concat(sign, F.substring(digits, F.lit(1), F.length(digits) - 2), F.lit("."), F.right(digits, F.lit(2)))
+    four = [F.col(c).cast("string") for c in ("n", "min", "max", "sum")]
+    if form == "txt":
+        names = ["  Count: ", "  Min:   ", "  Max:   ", "  Sum:   "]
+        rows = [F.concat(F.lit(n), c) for n, c in zip(names, four, strict=True)] + [F.concat(F.lit("  Avg:   "), avg)]
+        return stats.select(F.concat(F.lit(f"Statistics for '{key}':\n"), F.concat_ws("\n", *rows)).alias("value"))
+    named = [F.concat(F.lit(f'"{n}": '), c) for n, c in zip(("count", "min", "max", "sum"), four, strict=True)]
+    whole = F.concat_ws(", ", F.concat(F.lit('"key": '), F.lit(json.dumps(key, ensure_ascii=False))), *named, F.concat(F.lit('"avg": '), F.coalesce(avg, F.lit("null"))))
+    return stats.select(F.concat(F.lit("{"), whole, F.lit("}")).alias("value"))
+
+
+def table_rows(wide: DataFrame) -> DataFrame:
+    """value: the rows of table_lines() below its head, formatted by Spark, so they are written in parallel."""
+    text = wide.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in wide.columns])
+    widths = text.agg(*[F.coalesce(F.max(F.length(F.col(f"`{c}`"))), F.lit(0)).alias(c) for c in text.columns]).first()
+    return text.select(F.rtrim(F.concat_ws("  ", *[F.rpad(F.col(f"`{c}`"), max(len(c), widths[c]), " ") for c in text.columns])).alias("value"))
+
+
 def write(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 

@@ -15,6 +15,22 @@ def lookup(catalog: DataFrame, parent_id: int, name: str) -> DataFrame:
     return catalog.where((F.col("parent_id") == parent_id) & (F.col("name") == name))
 
 
+def resolve(catalog: DataFrame, path: str, root: int = ROOT) -> int | None:
+    """The object that a path names, by one lookup a step; none if a step is missing or no directory."""
+    at, is_dir = root, True
+    for name in [p for p in path.split("/") if p]:
+        found = lookup(catalog, at, name).select("inode_id", "is_dir").first() if is_dir else None
+        if found is None:
+            return None
+        at, is_dir = found["inode_id"], found["is_dir"]
+    return at
+
+
+def resolve_all(where: DataFrame, wanted: DataFrame) -> DataFrame:
+    """path, inode_id of many paths (path) at once, by the table that paths() gives."""
+    return wanted.select("path").join(where.select("path", "inode_id"), "path")
+
+
 def listing(catalog: DataFrame, parent_id: int) -> DataFrame:
     """Entries of a directory; the root's entry for itself isn't one."""
     return catalog.where((F.col("parent_id") == parent_id) & (F.col("inode_id") != parent_id))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultlens.operators.metadata import latest
+from vaultlens.operators.tags import TAG_TYPES
 from vaultlens.sources.model import ROOT, SCHEMAS
 
 
@@ -50,6 +51,33 @@ def attribute(meta: DataFrame, tags: DataFrame, inode_id: int, name: str, meta_p
     return tags.where((F.col("inode_id") == inode_id) & (F.col("tag_type") == int(number)) if kept else F.lit(False)).select(F.col("data").cast("binary").alias("value"))
 
 
+def _target(name: str, meta_prefix: str, tag_prefix: str) -> tuple[str, str | int]:
+    number = name[len(tag_prefix) :]
+    if name.startswith(meta_prefix) and len(name) > len(meta_prefix):
+        return "meta", name[len(meta_prefix) :]
+    if name.startswith(tag_prefix) and number.isdigit() and int(number) in TAG_TYPES:
+        return "tag", int(number)
+    raise KeyError(name)
+
+
+def with_attribute(meta: DataFrame, tags: DataFrame, inode_id: int, name: str, value: bytes, meta_prefix: str = "user.metadata.", tag_prefix: str = "user.mediatag.") -> tuple[DataFrame, DataFrame]:
+    """meta and tags after an extended attribute is set: a metadata value (text) or a media tag (bytes)."""
+    kind, key = _target(name, meta_prefix, tag_prefix)
+    meta, tags = without_attribute(meta, tags, inode_id, name, meta_prefix, tag_prefix)
+    spark = meta.sparkSession
+    if kind == "meta":
+        return meta.unionByName(spark.createDataFrame([(inode_id, key, value.decode("utf-8"))], SCHEMAS["meta"])), tags
+    new = spark.createDataFrame([(inode_id, key, bytearray(value))], SCHEMAS["media_tag"])
+    return meta, tags.unionByName(new.withColumn("data", F.col("data").cast(tags.schema["data"].dataType)))
+
+
+def without_attribute(meta: DataFrame, tags: DataFrame, inode_id: int, name: str, meta_prefix: str = "user.metadata.", tag_prefix: str = "user.mediatag.") -> tuple[DataFrame, DataFrame]:
+    """meta and tags after an extended attribute is removed."""
+    kind, key = _target(name, meta_prefix, tag_prefix)
+    this = F.col("inode_id") == inode_id
+    return (meta.where(~(this & (F.col("key") == key))), tags) if kind == "meta" else (meta, tags.where(~(this & (F.col("tag_type") == key))))
+
+
 def create_volume(spark: SparkSession, path: str) -> None:
     """Empty tables of every kind, and the root directory."""
     for name, schema in SCHEMAS.items():

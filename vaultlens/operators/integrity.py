@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultlens.functions.lineage import cut
@@ -102,6 +102,31 @@ def superblock_faults(sb: DataFrame, blocks: int) -> DataFrame:
     return sb.withColumn("fault", F.when((F.col("lba") < 1) | (F.col("lba") >= blocks), "out of range").when(n > 1, "shared")).where("fault IS NOT NULL")
 
 
+def volume_faults(volumes: DataFrame, now: int) -> DataFrame:
+    """volume, fault of volume records (volume, block_size, dedup_block_size, total_bytes, next_inode_id, bitmap_lba, bitmap_blocks, label, created): one row for each rule that a record breaks."""
+    size, dedup, total = F.col("block_size"), F.col("dedup_block_size"), F.col("total_bytes")
+    blocks = F.call_function("div", total, F.greatest(size, F.lit(1)))
+
+    def not_power(c: Column) -> Column:
+        return (c <= 0) | (c.bitwiseAND(c - 1) != 0)
+
+    rules = {
+        "block size is no power of two": not_power(size),
+        "block size is below 4096": ~not_power(size) & (size < 4096),
+        "dedup block size is no power of two": not_power(dedup),
+        "dedup block size is below the block size": ~not_power(dedup) & (dedup < size),
+        "size is no multiple of the block size": F.pmod(total, F.greatest(size, F.lit(1))) != 0,
+        "next inode is below 3": F.col("next_inode_id") < 3,
+        "bitmap is missing": F.col("bitmap_lba") == 0,
+        "bitmap is out of range": (F.col("bitmap_lba") > 0) & (F.col("bitmap_lba") + F.col("bitmap_blocks") > blocks),
+        "label has no end": ~F.contains("label", F.lit("\0")),
+        "time is not set": F.col("created") == 0,
+        "time is in the future": F.col("created") > now,
+    }
+    faults = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())
+    return volumes.select("volume", F.explode(faults).alias("fault"))
+
+
 def relocation(moves: DataFrame) -> DataFrame:
     """old, new with chains shortened: A to B and B to C make A to C. Doubling: each round halves the chains."""
     now = moves.select("old", "new")

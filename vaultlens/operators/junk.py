@@ -44,3 +44,9 @@ def regenerated(sectors: DataFrame, junk: DataFrame, generator: Generator, width
     inside = intervals.locate(placed.drop("data"), junk, width)
     made = _made(inside, generator)
     return sectors.join(made, ["inode_id", "sector"], "left").select("inode_id", "sector", "sector_size", F.coalesce("made", "data").alias("data"))
+
+
+def delete(runs: DataFrame, gone: DataFrame) -> DataFrame:
+    """runs without those of some objects (inode_id), or those that start at some places of theirs (inode_id, offset)."""
+    on = [c for c in ("inode_id", "offset") if c in gone.columns]
+    return runs.join(gone.select(*on).distinct(), on, "left_anti")

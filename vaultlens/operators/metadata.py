@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vaultlens.functions.lineage import numbered
 from vaultlens.functions.scalar import is_whole_int, listed, strtoll
 
+#: Columns of a wide table, results of a page.
+MAX_COLUMNS, PAGE = 32, 8
+
 
 def point(meta: DataFrame, inode_id: int, key: str) -> DataFrame:
     return meta.where((F.col("inode_id") == inode_id) & (F.col("key") == key))
@@ -55,8 +59,15 @@ def with_metadata(ids: DataFrame, meta: DataFrame, keys: list[str] | None = None
     return ids.join(maps, "inode_id", "left").withColumn("metadata", F.coalesce("metadata", empty))
 
 
-def wide(ids: DataFrame, meta: DataFrame, keys: list[str]) -> DataFrame:
-    """One column for each key, empty where it is missing; the named keys stand for the first-seen 32."""
+def first_seen_keys(ids: DataFrame, meta: DataFrame, most: int = MAX_COLUMNS) -> list[str]:
+    """The keys that become columns: the first `most` that are met going through the objects in inode order, and through an object's keys in theirs."""
+    firsts = meta.join(ids.select("inode_id"), "inode_id", "left_semi").groupBy("key").agg(F.min("inode_id").alias("at"))
+    return [r["key"] for r in firsts.orderBy("at", "key").limit(most).collect()]
+
+
+def wide(ids: DataFrame, meta: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One column for each key, empty where it is missing; without names, those of first_seen_keys()."""
+    keys = first_seen_keys(ids, meta) if keys is None else keys
     rows = ids.join(meta.where(F.col("key").isin(keys)), "inode_id", "left")
     table = rows.groupBy("inode_id").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in keys])
     return table.select("inode_id", *[F.coalesce(F.col(f"`{k}`"), F.lit("")).alias(k) for k in keys])
@@ -74,6 +85,22 @@ def limited(ids: DataFrame, n: int) -> DataFrame:
     return ids.orderBy("inode_id").limit(n) if n else ids
 
 
+def positions(ids: DataFrame) -> DataFrame:
+    """inode_id and its place among the results, which stand in inode order; numbered by ranges, not in one task."""
+    return numbered(ids.select("inode_id"), ["inode_id"], "position")
+
+
+def paged(ids: DataFrame, after: int | None = None, size: int = PAGE) -> DataFrame:
+    """The next `size` results in inode order beyond a cursor, the last inode_id that was seen."""
+    rest = ids if after is None else ids.where(F.col("inode_id") > after)
+    return rest.orderBy("inode_id").limit(size)
+
+
+def page_at(ids: DataFrame, offset: int, size: int = PAGE) -> DataFrame:
+    """`size` results from a place on."""
+    return ids.orderBy("inode_id").offset(offset).limit(size)
+
+
 def ordered(rows: DataFrame, key: str, reverse: bool = False) -> DataFrame:
     """Rows (inode_id, path, metadata) ordered by path or by a metadata key."""
     value = F.col("path") if key == "path" else sort_value(F.col("metadata"), key)

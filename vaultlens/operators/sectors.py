@@ -7,11 +7,11 @@ practical purposes and both engines agree; the first sector of each (size, hash)
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from vaultlens.functions.lineage import cut
+from vaultlens.functions.lineage import numbered
 
 BLOCK_BYTES = 4 * 1024 * 1024
 
@@ -59,18 +59,12 @@ def new_sectors(sectors: DataFrame, index: DataFrame) -> DataFrame:
 def placed(new: DataFrame, sector_size: int, start: int = 0) -> DataFrame:
     """new sectors of one size with the block and offset they get when appended in hash order to blocks of 4 MiB.
 
-    Positions come from per-partition counts plus a running total of those counts. Which row is in which range partition
-    is known for good only once it is written down, so hashes (without contents) are numbered, stored, then counted and joined.
+    Hashes are numbered without their contents, which are joined to their places.
     """
     each = BLOCK_BYTES // sector_size
     ours = new.where(F.col("sector_size") == sector_size)
-    ranged = ours.select("hash").repartitionByRange("hash").sortWithinPartitions("hash")
-    numbered = cut(ranged.select("hash", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row")))
-    sizes = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    # One row a partition, so this window is small however many sectors there are.
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    at = F.col("base") + F.col("row") + F.lit(start)
-    located = numbered.join(F.broadcast(before), "part").select("hash", F.floor(at / each).alias("lba"), (F.pmod(at, F.lit(each)) * sector_size).alias("offset"))
+    at = F.col("row") + F.lit(start)
+    located = numbered(ours.select("hash"), ["hash"], "row").select("hash", F.floor(at / each).alias("lba"), (F.pmod(at, F.lit(each)) * sector_size).alias("offset"))
     return ours.join(located, "hash").select("sector_size", "hash", "data", "lba", "offset") if "data" in new.columns else located.select(F.lit(sector_size).alias("sector_size"), "hash", "lba", "offset")
 
 
@@ -119,6 +113,11 @@ def damaged(dictionary: DataFrame) -> DataFrame:
     return dictionary.where(F.md5(F.col("data").cast("binary")) != F.col("hash")).select("sector_size", "hash")
 
 
+def damaged_parts(entries: DataFrame) -> DataFrame:
+    """The same for a dictionary of CD parts (hash, data)."""
+    return entries.where(F.md5(F.col("data").cast("binary")) != F.col("hash")).select("hash")
+
+
 def statistics(smap: DataFrame) -> DataFrame:
     """refs, unique, ratio in hundredths, duplicates and unique bytes for each sector size."""
     once = smap.groupBy("sector_size", "hash").agg(F.count(F.lit(1)).alias("n"))
@@ -141,10 +140,37 @@ def savings(images: DataFrame, smap: DataFrame) -> DataFrame:
     return both.select("logical", "unique", F.floor((F.col("logical") - F.col("unique")) * 10000 / F.col("logical")).cast("long").alias("saved_basis_points"))
 
 
+def _check_clone(source: int, target: int) -> None:
+    if source == target:
+        raise ValueError("a range is cloned between different objects")
+
+
+def cloned_extents(extents: DataFrame, source: int, target: int, first: int, count: int, block_size: int) -> DataFrame:
+    """extents (inode_id, logical_offset, start_block, count; in blocks) after bytes first .. first + count - 1 of one file are shared into another at the same place. The range must be whole blocks; block references follow from the result (integrity.refcounts)."""
+    from vaultlens.operators.intervals import clipped
+
+    _check_clone(source, target)
+    if first % block_size or count % block_size or count <= 0:
+        raise ValueError("a range is cloned in whole blocks")
+    lo, hi = first // block_size, (first + count) // block_size
+    own = F.col("inode_id") == target
+    every = ["inode_id", "logical_offset", "start_block", "count"]
+    before = clipped(extents.where(own), -(1 << 62), lo)
+    after = clipped(extents.where(own), hi, 1 << 62)
+    shared = clipped(extents.where(F.col("inode_id") == source), lo, hi).withColumn("inode_id", F.lit(target).cast("long"))
+    return extents.where(~own).select(*every).unionByName(before).unionByName(after).unionByName(shared)
+
+
+def freed(refs: DataFrame, released: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """refs (lba, refs) after released blocks (lba, once for each reference) lose a reference each: what is left, and the blocks that nothing refers to any more."""
+    gone = released.groupBy("lba").agg(F.count(F.lit(1)).alias("gone"))
+    left = refs.join(gone, "lba", "left").select("lba", (F.col("refs") - F.coalesce("gone", F.lit(0))).alias("refs"))
+    return left.where("refs > 0"), left.where("refs <= 0").select("lba")
+
+
 def cloned(smap: DataFrame, source: int, target: int, first: int, count: int, to: int = 0) -> DataFrame:
     """smap with `count` sectors of one image shared into another: rows are copied, contents are not."""
-    if source == target:
-        raise ValueError("a range is cloned between different images")
+    _check_clone(source, target)
     copied = smap.where((F.col("inode_id") == source) & F.col("sector").between(first, first + count - 1))
     moved = copied.select(F.lit(target).cast("long").alias("inode_id"), (F.col("sector") - first + to).alias("sector"), "sector_size", "hash")
     kept = smap.where((F.col("inode_id") != target) | ~F.col("sector").between(to, to + count - 1))
@@ -166,8 +192,10 @@ PREFIX, SUFFIX_AT, SUFFIX, SUBCHANNEL = 16, 2064, 288, 96
 def cd_split(raw: DataFrame) -> DataFrame:
     """Raw sectors (inode_id, sector, mode, data, subchannel) as their parts and the parts' hashes.
 
-    A prefix that can be computed from the address and mode isn't stored.
+    A prefix that can be computed from the address and mode isn't stored, nor is a suffix that can be computed from the
+    rest of the sector (modes 1 and 2 form 1).
     """
+    from vaultlens.functions.digests import form1_suffix_is_regenerable, suffix_is_regenerable
     from vaultlens.functions.scalar import cd_prefix
 
     def by_mode(k: int) -> Column:
@@ -182,11 +210,14 @@ def cd_split(raw: DataFrame) -> DataFrame:
     suffix = F.when((F.col("mode") > 0) & (tail < RAW), F.substring(d, tail + 1, F.lit(RAW) - tail))
     made = cd_prefix(F.col("sector"), F.when(F.col("mode") == 1, 1).otherwise(2))
     generated = F.coalesce(prefix == made, F.lit(False))
+    # A suffix is computed from the whole sector, its own prefix included.
+    again = F.when(F.col("mode") == 1, suffix_is_regenerable(d)).when(F.col("mode") == 3, form1_suffix_is_regenerable(d)).otherwise(F.lit(False))
+    raw = raw.withColumn("_again", F.coalesce(again, F.lit(False)))
     return raw.select(
         "inode_id", "sector", "mode",
         F.substring(d, by_mode(0) + 1, by_mode(1)).alias("user_data"),
         F.when(by_mode(2) > 0, F.substring(d, F.lit(PREFIX + 1), by_mode(2))).alias("subheader"),
-        generated.alias("generated_prefix"), F.when(~generated, prefix).alias("prefix"), suffix.alias("suffix"), F.col("subchannel"),
+        generated.alias("generated_prefix"), F.when(~generated, prefix).alias("prefix"), F.col("_again").alias("generated_suffix"), F.when(~F.col("_again"), suffix).alias("suffix"), F.col("subchannel"),
     ).withColumns({f"{p}_hash": F.md5(F.col(p)) for p in ("user_data", "prefix", "suffix", "subchannel")})
 
 
@@ -195,8 +226,14 @@ def dictionary(rows: DataFrame, part: str) -> DataFrame:
     return rows.where(F.col(part).isNotNull()).groupBy(F.col(f"{part}_hash").alias("hash")).agg(F.first(part).alias("data"))
 
 
+def dictionary_delete(entries: DataFrame, gone: DataFrame) -> DataFrame:
+    """A dictionary of parts without the hashes of `gone`."""
+    return entries.join(gone.select("hash"), "hash", "left_anti")
+
+
 def cd_rebuilt(cd_map: DataFrame, data: DataFrame, prefixes: DataFrame, suffixes: DataFrame, last: DataFrame) -> DataFrame:
     """Raw sectors 0 .. last.sectors - 1 of each image; those that the map lacks are zeros."""
+    from vaultlens.functions.digests import form1_suffix, mode1_suffix
     from vaultlens.functions.scalar import cd_prefix
 
     zeros = F.unhex(F.repeat(F.lit("00"), RAW))
@@ -205,7 +242,10 @@ def cd_rebuilt(cd_map: DataFrame, data: DataFrame, prefixes: DataFrame, suffixes
     rows = rows.join(suffixes.select(F.col("hash").alias("suffix_hash"), F.col("data").alias("s")), "suffix_hash", "left")
     none = F.lit("").cast("binary")
     head = F.when(F.col("generated_prefix"), cd_prefix(F.col("sector"), F.when(F.col("mode") == 1, 1).otherwise(2))).otherwise(F.coalesce("p", none))
-    raw = F.concat(head, F.coalesce("subheader", none), F.col("u"), F.coalesce("s", none))
+    rows = rows.withColumn("_head", F.concat(head, F.coalesce("subheader", none), F.col("u")))
+    again = F.col("generated_suffix")
+    tail = F.when(again & (F.col("mode") == 1), mode1_suffix(F.when(again & (F.col("mode") == 1), F.col("_head")))).when(again, form1_suffix(F.when(again & (F.col("mode") == 3), F.col("_head")))).otherwise(F.coalesce("s", none))
+    raw = F.concat(F.col("_head"), tail)
     places = last.select("inode_id", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("sectors") - 1).cast("long"))).alias("sector"))
     return places.join(rows.select("inode_id", "sector", raw.alias("raw")), ["inode_id", "sector"], "left").select("inode_id", "sector", F.coalesce("raw", zeros).alias("data"))
 

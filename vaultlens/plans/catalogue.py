@@ -645,3 +645,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from vaultlens.plans import store  # noqa: E402, F401  its queries register themselves
