@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from vaultlens.llm.common import ship
 
 #: Words and token pairs that a worker remembers.
-CACHE_WORDS = 450_000
-CACHE_PAIRS = 500_000
+CACHE_WORDS = 200_000
+CACHE_PAIRS = 250_000
 #: Letters of text whose new words are encoded together.
-AHEAD = 8_000_000
+AHEAD = 3_000_000
 #: The parts of the splitting pattern; letters and marks here are those of PLAIN texts.
 _PLAIN = "\\t\\n\\r -~\\u00a1-\\u00ac\\u00ae-\\u00b1\\u00b4\\u00b6-\\u00b8\\u00bb\\u00bf-\\u017e\\u2010-\\u2027\\u2030-\\u203a\\u20ac"
 _NOT_PLAIN = re.compile(f"[^{_PLAIN}]")
