@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -198,6 +199,7 @@ def _mixed(state: np.ndarray, by: tuple[int, int, int, int]) -> np.ndarray:
     return np.bitwise_xor.reduce([np.roll(t, -k, axis=2) for k, t in enumerate(times)]).reshape(-1, 16)
 
 
+@lru_cache(maxsize=1024)
 def _round_keys(key: bytes) -> np.ndarray:
     words, r = [np.frombuffer(key, np.uint8)[k : k + 4] for k in range(0, 16, 4)], np.uint8(1)
     for k in range(4, 44):
@@ -227,7 +229,7 @@ def aes_cbc(data: bytes, key: bytes, iv: bytes, decrypt: bool) -> bytes:
     """data of whole blocks of 16 bytes; decryption takes all blocks at a time."""
     if len(data) % 16 or len(key) != 16 or len(iv) != 16:
         raise ValueError("whole blocks, a key and a start of 16 bytes are needed")
-    blocks, keys = np.frombuffer(data, np.uint8).reshape(-1, 16), _round_keys(key)
+    blocks, keys = np.frombuffer(data, np.uint8).reshape(-1, 16), _round_keys(bytes(key))
     before = np.frombuffer(iv, np.uint8)[None]
     if decrypt:
         return (_decrypted(blocks, keys) ^ np.concatenate((before, blocks))[: len(blocks)]).tobytes()
@@ -246,3 +248,13 @@ def aes(data: Column, key: Column, iv: Column, decrypt: bool = True) -> Column:
         return pd.Series([None if x is None or y is None or z is None else aes_cbc(bytes(x), bytes(y), bytes(z), decrypt) for x, y, z in zip(d, k, v, strict=True)], dtype=object)
 
     return run(data.cast("binary"), key.cast("binary"), iv.cast("binary"))
+
+
+def sector_iv(sector: Column) -> Column:
+    """The start value of a disc sector that is enciphered by itself: its number as 16 big-endian bytes."""
+    return F.unhex(F.lpad(F.hex(sector.cast("long")), 32, "0"))
+
+
+def derived_key(part: Column, key: Column, iv: Column) -> Column:
+    """A disc's key: the 16 bytes that its description holds, enciphered with the key and start of the disc format (parameters; none is kept here)."""
+    return aes(part, key, iv, decrypt=False)

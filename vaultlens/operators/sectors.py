@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from vaultlens.functions import digests
 from vaultlens.functions.lineage import numbered
+from vaultlens.operators import intervals
 
 BLOCK_BYTES = 4 * 1024 * 1024
 
@@ -260,3 +262,13 @@ def tracks_to_sectors(tracks: DataFrame) -> DataFrame:
     """Rows for every sector from start - pregap (0 at least) to end of tracks of a known kind."""
     known = tracks.where(F.col("mode").isin(list(CD_MODES)))
     return known.select("inode_id", "track", "mode", F.explode(F.sequence(F.greatest(F.col("start") - F.col("pregap"), F.lit(0)), F.col("end"))).alias("sector"))
+
+
+def deciphered(sectors: DataFrame, regions: DataFrame, keys: DataFrame) -> DataFrame:
+    """inode_id, sector, data of discs whose sectors outside plain regions (inode_id, start_sector, end_sector; both included) are enciphered one by one.
+
+    keys: inode_id, key (16 bytes). The sector's number starts the chain, so sectors are independent of each other. Without a key a sector stays as it is.
+    """
+    marked = intervals.inside_any(sectors.withColumn("at", F.col("sector")), regions).join(keys.select("inode_id", "key"), "inode_id", "left")
+    opened = digests.aes(F.when(~F.col("plain"), F.col("data").cast("binary")), F.col("key"), digests.sector_iv(F.col("sector")))
+    return marked.select("inode_id", "sector", F.coalesce(opened, F.col("data").cast("binary")).alias("data"))

@@ -547,9 +547,11 @@ def order_check(spark, sf_dir):
     return integrity.order_faults(model.read(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value")
 
 
-@registered("SELECT 'a' AS name, 5::BIGINT AS lba, 'shared' AS fault UNION ALL SELECT 'b', 5, 'shared' UNION ALL SELECT 'c', 0, 'out of range' UNION ALL SELECT 'd', 200, 'out of range'")
+@registered("""WITH f AS (SELECT s_name AS name, s_suppkey % 60 * 79 - 20 AS lba FROM supplier), c AS (SELECT *, count(*) OVER (PARTITION BY lba) AS n FROM f)
+SELECT name, lba, CASE WHEN lba < 1 OR lba >= 4000 THEN 'out of range' ELSE 'shared' END AS fault FROM c WHERE lba < 1 OR lba >= 4000 OR n > 1""")
 def superblock_check(spark, sf_dir):
-    return integrity.superblock_faults(spark.createDataFrame([("a", 5), ("b", 5), ("c", 0), ("d", 200), ("e", 7)], "name string, lba long"), 100)
+    fields = model.read(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), (F.col("s_suppkey") % 60 * 79 - 20).alias("lba"))
+    return integrity.superblock_faults(fields, 4000)
 
 
 @registered("SELECT CAST(p_partkey AS BIGINT) AS old, CAST(-(p_partkey // 16 * 16 + 16) AS BIGINT) AS new FROM part")

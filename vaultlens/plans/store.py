@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultlens.functions import digests, scalar
+from vaultlens.functions import digests, lagged, scalar
 from vaultlens.functions.lineage import shared_dir
 from vaultlens.operators import blocks, export, hierarchy, inodes, integrity, intervals, junk, metadata, sectors, tags
 from vaultlens.plans import planner, sqlgen
@@ -292,6 +292,23 @@ def aes_round_trip(spark, sf_dir):
     return rows.select("id", F.decode(F.substring("o", F.lit(1), F.length("o") - last), "UTF-8").alias("text"))
 
 
+@registered("SELECT p_partkey AS sector, printf('%032x', p_partkey) AS iv FROM part")
+def sector_start_values(spark, sf_dir):
+    return model.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("sector"), F.lower(F.hex(digests.sector_iv(F.col("p_partkey")))).alias("iv"))
+
+
+@registered("SELECT p_size::BIGINT AS inode_id, p_partkey AS sector, rpad(p_name, 64, ' ') AS text FROM part")
+def sector_cipher(spark, sf_dir):
+    """Sectors enciphered outside plain regions under keys derived from what a disc's description holds, and opened again."""
+    part = model.read(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("inode_id"), F.col("p_partkey").alias("sector"), F.encode(F.rpad("p_name", 64, " "), "UTF-8").alias("data"))
+    held = F.unhex(F.md5(F.col("inode_id").cast("string")))
+    keys = part.select("inode_id").distinct().select("inode_id", digests.derived_key(held, F.unhex(F.md5(F.lit("key"))), F.unhex(F.md5(F.lit("start")))).alias("key"))
+    regions = spark.range(1, 51).select(F.col("id").alias("inode_id"), F.lit(0).cast("long").alias("start_sector"), F.lit(99).cast("long").alias("end_sector"))
+    closed = F.when(F.col("sector") <= 99, F.col("data")).otherwise(digests.aes(F.col("data"), F.col("key"), digests.sector_iv(F.col("sector")), decrypt=False))
+    sealed = part.join(keys, "inode_id").select("inode_id", "sector", closed.alias("data"))
+    return sectors.deciphered(sealed, regions, keys).select("inode_id", "sector", F.decode("data", "UTF-8").alias("text"))
+
+
 # Sectors
 
 _DICT = f"{_SECTORS}, d AS (SELECT DISTINCT sector_size, hash FROM s)"
@@ -415,6 +432,45 @@ def junk_regions(spark, sf_dir):
     return runs.select("inode_id", "offset", "length", "seed")
 
 
+def _lagged_rows(spark, sf_dir) -> DataFrame:
+    """Blocks of 64 sectors of 64 bytes, each block the stream of a seed of its own, but data in its first four sectors and where p_size is 50."""
+    part = model.read(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 1024).alias("inode_id"), (F.col("p_partkey") % 1024).alias("sector"), "p_size", F.lit(64).alias("sector_size"))
+    block = F.concat_ws("/", "inode_id", F.floor(F.col("sector") / 64))
+    seed = F.unhex(F.substring(F.concat(*[F.md5(F.concat(block, F.lit(f"/{k}"))) for k in range(5)]), 1, 136))
+    made = junk._made(part.withColumn("at", F.col("sector") * 64).withColumn("seed", seed), lagged.repeating(4096))
+    data = F.when((F.col("p_size") < 50) & (F.col("sector") % 64 >= 4), F.col("made")).otherwise(F.encode(F.repeat(F.lit("d"), F.lit(64)), "UTF-8"))
+    return part.join(made, ["inode_id", "sector"]).select("inode_id", "sector", "sector_size", data.alias("data"))
+
+
+def _lagged_seeds(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    regions = rows.select("inode_id", (F.floor(F.col("sector") / 64) * 4096).alias("offset"), F.lit(256).cast("long").alias("length")).distinct()
+    return regions, junk.recovered_seeds(rows, regions, 4096, 4096)
+
+
+#: A run of 33 sectors holds the 521 words that a seed takes. The seed's first word is left out: two of its bits are in no stream.
+_LAGGED = """WITH x AS (SELECT p_partkey // 1024 AS inode_id, p_partkey % 1024 AS sector, p_partkey % 1024 // 64 AS block FROM part WHERE p_size < 50 AND p_partkey % 64 >= 4),
+g AS (SELECT *, sector - row_number() OVER (PARTITION BY inode_id, block ORDER BY sector) AS g FROM x),
+runs AS (SELECT inode_id, block, min(sector) AS first, count(*) AS n, inode_id || '/' || block AS b FROM g GROUP BY inode_id, block, g),
+seeds AS (SELECT DISTINCT inode_id, block, substr(md5(b || '/0') || md5(b || '/1') || md5(b || '/2') || md5(b || '/3') || md5(b || '/4'), 9, 128) AS seed FROM runs WHERE n >= 33)
+"""
+
+
+@registered(_LAGGED + "SELECT inode_id, block, seed FROM seeds")
+def junk_seeds(spark, sf_dir):
+    """Seeds of blocks, found from their sectors."""
+    _, seeds = _lagged_seeds(_lagged_rows(spark, sf_dir))
+    return seeds.select("inode_id", "block", F.lower(F.hex(F.substring("seed", 5, 64))).alias("seed"))
+
+
+@registered(_LAGGED + 'SELECT inode_id, first * 64 AS "offset", n * 64 AS length, seed FROM runs JOIN seeds USING (inode_id, block)')
+def junk_of_blocks(spark, sf_dir):
+    """Intervals of sectors that the seeds found give, block by block."""
+    rows = _lagged_rows(spark, sf_dir)
+    regions, seeds = _lagged_seeds(rows)
+    _, runs = junk.elided(rows, regions, seeds, lagged.repeating(4096), 4096, 4096)
+    return runs.select("inode_id", "offset", "length", F.lower(F.hex(F.substring("seed", 5, 64))).alias("seed"))
+
+
 @registered(_JUNK + " HAVING inode_id % 2 = 1")
 def junk_delete(spark, sf_dir):
     """Intervals after those of every second object are deleted."""
