@@ -76,3 +76,23 @@ def test_deciphered(spark):
     held, start = bytes(range(16, 32)), bytes(16)
     one = spark.range(1).select(digests.derived_key(F.lit(held), F.lit(key), F.lit(start)).alias("k")).first().k
     assert bytes(one) == digests.aes_cbc(held, key, start, False)
+
+
+def test_aes_rows_of_several_keys_and_lengths(spark):
+    r = random.Random(3)
+    keys = [r.randbytes(16) for _ in range(3)]
+    rows = [(i, bytearray(r.randbytes(16 * (i % 4))), bytearray(keys[i % 3]), bytearray(r.randbytes(16))) for i in range(20)] + [(20, None, bytearray(keys[0]), bytearray(16)), (21, bytearray(16), None, bytearray(16))]
+    df = spark.createDataFrame(rows, "i int, d binary, k binary, v binary").coalesce(1)
+    sealed = df.withColumn("e", digests.aes(F.col("d"), F.col("k"), F.col("v"), False))
+    for x in sealed.withColumn("o", digests.aes(F.col("e"), F.col("k"), F.col("v"))).collect():
+        if x.d is None or x.k is None:
+            assert x.e is None and x.o is None
+        else:
+            assert x.o == x.d and bytes(x.e) == b"".join(_chained(bytes(x.d), bytes(x.k), bytes(x.v)))
+
+
+def _chained(data, key, iv):
+    """CBC block by block, each by itself."""
+    for k in range(0, len(data), 16):
+        iv = digests.aes_cbc(bytes(a ^ b for a, b in zip(data[k : k + 16], iv, strict=True)), key, bytes(16), False)
+        yield iv

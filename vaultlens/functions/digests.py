@@ -225,19 +225,32 @@ def _decrypted(state: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return state ^ keys[0]
 
 
-def aes_cbc(data: bytes, key: bytes, iv: bytes, decrypt: bool) -> bytes:
-    """data of whole blocks of 16 bytes; decryption takes all blocks at a time."""
-    if len(data) % 16 or len(key) != 16 or len(iv) != 16:
+def _cbc(rows: list[bytes], key: bytes, ivs: list[bytes], decrypt: bool) -> list[bytes]:
+    """Rows of one key together: decryption takes all their blocks at a time, encryption the blocks at one place of all rows."""
+    if any(len(x) % 16 for x in rows) or len(key) != 16 or any(len(x) != 16 for x in ivs):
         raise ValueError("whole blocks, a key and a start of 16 bytes are needed")
-    blocks, keys = np.frombuffer(data, np.uint8).reshape(-1, 16), _round_keys(bytes(key))
-    before = np.frombuffer(iv, np.uint8)[None]
+    keys, sizes = _round_keys(key), np.array([len(x) // 16 for x in rows], np.int64)
+    blocks = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 16)
+    starts = np.cumsum(sizes) - sizes
+    before = np.frombuffer(b"".join(ivs), np.uint8).reshape(-1, 16)
+    out = np.empty_like(blocks)
     if decrypt:
-        return (_decrypted(blocks, keys) ^ np.concatenate((before, blocks))[: len(blocks)]).tobytes()
-    out = []
-    for b in blocks:
-        before = _encrypted(b[None] ^ before, keys)
-        out.append(before)
-    return b"".join(x.tobytes() for x in out)
+        chained = np.concatenate((blocks[:1], blocks))[: len(blocks)]
+        chained[starts[sizes > 0]] = before[sizes > 0]
+        out = _decrypted(blocks, keys) ^ chained
+    else:
+        before = before.copy()
+        for k in range(int(sizes.max(initial=0))):
+            on = np.flatnonzero(sizes > k)
+            before[on] = _encrypted(blocks[starts[on] + k] ^ before[on], keys)
+            out[starts[on] + k] = before[on]
+    made = out.tobytes()
+    return [made[16 * s : 16 * (s + n)] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+
+
+def aes_cbc(data: bytes, key: bytes, iv: bytes, decrypt: bool) -> bytes:
+    """data of whole blocks of 16 bytes."""
+    return _cbc([data], key, [iv], decrypt)[0]
 
 
 def aes(data: Column, key: Column, iv: Column, decrypt: bool = True) -> Column:
@@ -245,7 +258,15 @@ def aes(data: Column, key: Column, iv: Column, decrypt: bool = True) -> Column:
 
     @F.pandas_udf("binary")
     def run(d: pd.Series, k: pd.Series, v: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None or z is None else aes_cbc(bytes(x), bytes(y), bytes(z), decrypt) for x, y, z in zip(d, k, v, strict=True)], dtype=object)
+        out: list[bytes | None] = [None] * len(d)
+        of: dict[bytes, list[int]] = {}
+        for i, (x, y, z) in enumerate(zip(d, k, v, strict=True)):
+            if x is not None and y is not None and z is not None:
+                of.setdefault(bytes(y), []).append(i)
+        for one, at in of.items():
+            for i, made in zip(at, _cbc([bytes(d.iat[i]) for i in at], one, [bytes(v.iat[i]) for i in at], decrypt), strict=True):
+                out[i] = made
+        return pd.Series(out, dtype=object)
 
     return run(data.cast("binary"), key.cast("binary"), iv.cast("binary"))
 
