@@ -5,7 +5,7 @@ those; filters of several widths slide over the whole text and their largest res
 sees a bounded sample of labelled texts, whole ones (at most SAMPLE_TEXTS of each class, as expected, chosen by a hash of
 the row), so it costs the same on any corpus. The
 embedding's first coordinate starts at a quarter of the class log-odds of its bucket; all weights are then trained with Adagrad.
-On a part of the sample set aside, a threshold is set for each language; scores are stretched so that a language's
+Every part of the sample is scored by a model of the other parts, and a threshold is set for each language on those scores; scores are stretched so that a language's
 threshold stands at CUT. The language is guessed from the text's function words, never read from a column.
 
 Scoring keeps the embeddings of the words a worker remembers, so a text costs lookups, one matrix product and maxima. The model's size is fixed (BUCKETS x DIM and the filters), and it is broadcast.
@@ -36,8 +36,10 @@ BUCKETS = 1 << 15
 DIM = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 16
-EPOCHS = 6
+EPOCHS = 4
 BATCH = 32
+#: Parts of the sample; each is scored by a model of the others, which gives the thresholds.
+FOLDS = 3
 #: Where calibrated thresholds stand.
 CUT = 0.3
 CACHE_WORDS = 500_000
@@ -228,33 +230,42 @@ class Model:
         keep = ids != _PAD
         move("emb", self.emb, grad[keep], ids[keep])
 
-    def fit(self, docs: list[np.ndarray], subs: np.ndarray, y: np.ndarray, langs: list[str], seed: int = 7) -> None:
-        rng = np.random.default_rng(seed)
-        order = rng.permutation(len(docs))
-        aside, seen = order[: len(order) // 4], order[len(order) // 4 :]
+    def _train(self, docs: list[np.ndarray], subs: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> None:
         pos, neg = np.ones(BUCKETS + 1), np.ones(BUCKETS + 1)
-        for k in seen:
-            (pos if y[k] else neg)[np.unique(subs[docs[k]])] += 1
-        n_pos, n_neg = max(1, y[seen].sum()), max(1, (1 - y[seen]).sum())
+        for d, label in zip(docs, y, strict=True):
+            (pos if label else neg)[np.unique(subs[d])] += 1
+        n_pos, n_neg = max(1, y.sum()), max(1, (1 - y).sum())
         odds = np.log((pos / n_pos) / (neg / n_neg)) * (pos + neg - 2) / (pos + neg + 8)
         self.emb[:, 0] += 0.25 * odds.astype(np.float32)
         self.emb[_PAD] = 0
         for w in WIDTHS:
             self.filters[w][:, 0, : FILTERS // 2] = np.abs(self.filters[w][:, 0, : FILTERS // 2]) + 0.3
-        weight = np.where(y == 1, len(seen) / (2 * n_pos), len(seen) / (2 * n_neg))
+        weight = np.where(y == 1, len(y) / (2 * n_pos), len(y) / (2 * n_neg))
         sums: dict = {}
         for epoch in range(EPOCHS):
-            turn = rng.permutation(seen)
+            turn = rng.permutation(len(docs))
             for k in range(0, len(turn), BATCH):
                 at = turn[k : k + BATCH]
                 self._step([docs[i] for i in at], subs, y[at], weight[at], sums, 0.05 / (1 + 0.5 * epoch))
         self.ready = True
-        p = self.raw([docs[i] for i in aside], self.embedded(subs)) if len(aside) else np.zeros(0)
-        of = np.array([langs[i] for i in aside], dtype=object)
-        self.cuts = {"": self._threshold(p, y[aside], 0.5)}
+
+    def fit(self, docs: list[np.ndarray], subs: np.ndarray, y: np.ndarray, langs: list[str], seed: int = 7) -> None:
+        """Trains on all rows; the thresholds come from models that have not seen the row they score."""
+        rng = np.random.default_rng(seed)
+        fold = rng.permutation(len(docs)) % FOLDS
+        p = np.zeros(len(docs))
+        for f in range(FOLDS):
+            seen, aside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+            if len(seen) and len(aside):
+                part = Model(seed)
+                part._train([docs[i] for i in seen], subs, y[seen], rng)
+                p[aside] = part.raw([docs[i] for i in aside], part.embedded(subs))
+        self._train(docs, subs, y, rng)
+        of = np.array(langs, dtype=object)
+        self.cuts = {"": self._threshold(p, y, 0.5)}
         for lang in STOP_WORDS:
             own = of == lang
-            self.cuts[lang] = self._threshold(p[own], y[aside][own], self.cuts[""])
+            self.cuts[lang] = self._threshold(p[own], y[own], self.cuts[""])
 
     @staticmethod
     def _threshold(p: np.ndarray, y: np.ndarray, default: float) -> float:
