@@ -326,6 +326,25 @@ def test_token_checksums(spark, sf):
     assert len(got) == len(rows)
 
 
+def test_plain_runs_are_split_without_the_library():
+    """Of plain texts only words go to the library, to its model; ids and tables are as if it had split them."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, lib = tokenbin.Encoder(path), Tokenizer.from_file(path)
+    texts = ["Don't we'll, it's' ''s _a_b x2y 33% l'été, c'est-à-dire.%%% naïve", " lead\nÀ la\ncarte! $5,00 'tis 'RE", "tail " + prose(random.Random(8), 200)]
+    own.runs.update((r, own._ids(r)) for r in ("", "\n", " "))
+    own.library = None
+    for t in texts:
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
+
+
+@pytest.mark.parametrize("bits", [8, 16, 32])
+def test_whole_bytes_are_packed_as_bits_are(bits):
+    x = np.random.default_rng(bits).integers(0, 1 << bits, 1003).astype("<u4")
+    rows = np.unpackbits(x.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits]
+    assert tokenbin.pack(x, bits) == np.packbits(rows.reshape(-1), bitorder="little").tobytes()
+    assert (tokenbin.unpack(tokenbin.pack(x, bits), bits, len(x)) == x).all() and not len(tokenbin.unpack(b"", bits, 0))
+
+
 # Quality
 
 

@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vaultlens.llm.bpe import byte_letters
 from vaultlens.llm.common import cut, ship
 from vaultlens.llm.common import folder as new_folder
 
@@ -40,11 +41,15 @@ _NULL_ID = -(1 << 63)
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
+    if bits in (8, 16, 32):
+        return ids.astype(f"<u{bits // 8}").tobytes()
     rows = np.unpackbits(np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits]
     return np.packbits(rows.reshape(-1), bitorder="little").tobytes()
 
 
 def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
+    if bits in (8, 16, 32):
+        return np.frombuffer(data, f"<u{bits // 8}", n).astype("<u4")
     raw = np.zeros(len(data) + 8, np.uint8)
     raw[: len(data)] = np.frombuffer(data, np.uint8)
     at = np.arange(n, dtype=np.int64) * bits
@@ -129,13 +134,16 @@ class Reader:
 #: Characters of texts whose words Python's own classes tell apart as the tokenizer's pattern does.
 _NOT_PLAIN = re.compile("[^\\n -~\\u00a1-\\u00ac\\u00ae-\\u00b1\\u00b4\\u00b6-\\u00b8\\u00bb\\u00bf-\\u017e\\u2010-\\u2027\\u2030-\\u203a\\u20ac]")
 _CROWDED = ("  ", "\n ", " \n", "\n\n")
+#: Fixed value: the words of the splitting pattern in a run of plain characters.
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[^\\W\\d_]+| ?\\d+| ?(?:[^\\s\\w]|_)+").findall
 
 
 class Encoder:
     """The tokenizer library's ids of texts.
 
     The splitting pattern keeps a run without spaces, with the space before it, apart from its neighbours wherever
-    white space stands alone. So the library encodes each different run once and its ids are put together again.
+    white space stands alone. So each different run is encoded once and its ids are put together again. Splitting costs
+    the library more than merging, so a run is split into its words here and only these go to the library's model.
     Texts with special tokens, unusual characters or crowded white space go to the library whole.
     """
 
@@ -149,6 +157,9 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.model = self.library.model
+        # Line ends stay: they separate the words of one translation.
+        self.letters = {b: c for b, c in byte_letters().items() if b != 10}
         self.runs: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -158,15 +169,34 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         if len(self.runs) + len(new) > CACHE_RUNS:
             self.old, self.runs = self.runs, {}
+        runs, old = self.runs, self.old
+        split: dict[str, list[str]] = {}
         ask = []
         for r in new:
-            known = self.old.get(r)
-            if known is None:
+            known = old.get(r)
+            if known is not None:
+                runs[r] = known
+                continue
+            words = _WORDS(r)
+            if len(words) == 1 and words[0] == r:
                 ask.append(r)
+            elif "".join(words) == r:
+                split[r] = words
             else:
-                self.runs[r] = known
-        for r, e in zip(ask, self.library.encode_batch_fast(ask, add_special_tokens=False), strict=True):
-            self.runs[r] = array("I", e.ids).tobytes()
+                runs[r] = self._ids(r)
+        for w in {w for words in split.values() for w in words}.difference(ask):
+            if w not in runs:
+                known = old.get(w)
+                if known is None:
+                    ask.append(w)
+                else:
+                    runs[w] = known
+        tokenize = self.model.tokenize
+        spelled = "\n".join(ask).encode("utf-8").decode("latin-1").translate(self.letters).split("\n") if ask else []
+        for w, s in zip(ask, spelled, strict=True):
+            runs[w] = array("I", [t.id for t in tokenize(s)]).tobytes()
+        for r, words in split.items():
+            runs[r] = b"".join([runs[w] for w in words])
 
     def encode(self, text: str) -> bytes:
         if not text:
