@@ -298,6 +298,32 @@ def test_results_do_not_depend_on_broadcasts(spark, sf, monkeypatch, limit):
     assert simhash.deduplicated(docs(spark, rows + rows[:5])).count() == len(simhash.near_duplicates(docs(spark, rows)).select("component").distinct().collect())
 
 
+def test_line_dedup_stores_few_files(spark, monkeypatch):
+    """A large aggregation that leaves few rows is not stored as a file for each of its partitions."""
+    parts, store = [], common.cut
+
+    def counted(df):
+        out = store(df)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(common, "cut", counted)
+    rng = random.Random(5)
+    rows = [(d, "\n".join(prose(rng, 8, [f"w{k}" for k in range(300)]) for _ in range(20))) for d in range(100)]
+    rows.append((100, rows[0][1]))
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k"}
+    kept = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {(r.d, r.i) for r in linededup.removals(docs(spark, rows)).collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == {(100, i) for i in range(20)}
+    assert len(parts) == 4 and max(parts[0], parts[2]) <= 6, parts
+
+
 # BPE and token files
 
 

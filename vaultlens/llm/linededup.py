@@ -20,6 +20,8 @@ so spacing does not matter; lines without a word always stay.
 Hashes of all starts of a line are made from hashes of whole blocks of words and of the words since the last block, so
 a line of any length costs a number of operations linear in its words. Tables that steer a join (keys that are shared,
 places of lines, lines that go) are stored and counted; up to BROADCAST_ROWS they are broadcast, beyond that shuffled.
+Of the aggregations over all keys few rows are left, so these are dealt out anew before they are stored: a file for each
+partition that they came from would be hundreds of small ones.
 
 Rows that share an id, or have none, are told apart by a hash of their text, so a line goes only from rows that hold it.
 
@@ -102,7 +104,7 @@ def _within_one(x: Column, y: Column) -> Column:
 
 def _linked(variants: DataFrame) -> DataFrame:
     """p, e: lines with the earliest line of a group they are in."""
-    groups = sized(variants.groupBy("k1", "k2").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi"))
+    groups = sized(variants.groupBy("k1", "k2").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").hint("rebalance"))
     two = groups.where("n = 2").select(F.col("hi").alias("p"), F.col("lo").alias("e"))
     more = variants.join(groups.where("n > 2").select("k1", "k2", "lo"), ["k1", "k2"]).where("p <> lo").select("p", F.col("lo").alias("e"))
     return two.unionByName(more).distinct()
@@ -122,7 +124,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     first = stored(marked.groupBy("h1", "h2").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("times"), F.first("keys").alias("keys")))
 
     keyed = first.select("p", F.explode("keys").alias("k")).select("p", "k.side", "k.key")
-    shared = sized(keyed.groupBy("key").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo <> hi").select("key"))
+    shared = sized(keyed.groupBy("key").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo <> hi").select("key").hint("rebalance"))
     near = sized(keyed.join(shared, "key", "left_semi").groupBy("p").agg(F.collect_set("side").alias("sides")).select("p.d", "p.i", "p.t", "sides"))
 
     found = lines.join(near, lines["d"].eqNullSafe(near["d"]) & (lines["i"] == near["i"]) & (lines["t"] == near["t"])).select(F.struct(lines["d"], lines["i"], lines["t"]).alias("p"), "sides", single_spaced(F.col("line")).alias("s"))
