@@ -371,6 +371,28 @@ def test_whole_bytes_are_packed_as_bits_are(bits):
     assert (tokenbin.unpack(tokenbin.pack(x, bits), bits, len(x)) == x).all() and not len(tokenbin.unpack(b"", bits, 0))
 
 
+def test_workers_give_memory_back(spark, monkeypatch, tmp_path):
+    """What a task's texts took is the system's again when the task ends, not when the worker goes."""
+    mark, path = str(tmp_path / "given"), public_tokenizers.path("word_bpe_49k.json")
+
+    def noted():
+        open(mark, "a").close()
+
+    monkeypatch.setattr(bpe, "give_back", noted)
+    bpe.encoding_digests(docs(spark, [(1, "Hello there")]), path).collect()
+    assert (tmp_path / "given").exists()
+
+    def held():
+        return sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Private_Dirty")) / 1024
+
+    texts = [bytes(600) for _ in range(200_000)]
+    pins = texts[::1000] + [bytes(600)]
+    del texts
+    before = held()
+    common.give_back()
+    assert held() < before - 60 and len(pins) == 201
+
+
 # Quality
 
 

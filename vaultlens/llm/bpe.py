@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultlens.llm.common import ship
+from vaultlens.llm.common import give_back, ship
 
 #: Words and token pairs that a worker remembers.
 CACHE_WORDS = 200_000
@@ -259,9 +259,13 @@ class Digests:
                 n += 1
             elif bpe.plain(part):
                 runs = part.lower().split()  # no word holds white space, so runs without it can be encoded alone
-                self._learn(runs)
                 if runs:
-                    a, b, c = zip(*map(self.words.__getitem__, runs), strict=True)
+                    try:
+                        got = list(map(self.words.__getitem__, runs))
+                    except KeyError:
+                        self._learn(runs)
+                        got = list(map(self.words.__getitem__, runs))
+                    a, b, c = zip(*got, strict=True)
                     ids += a
                     toks += b
                     n += sum(c)
@@ -317,7 +321,10 @@ def encoding_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     def digest(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         batch = _digests(path).batch
         for texts in parts:
-            yield pd.DataFrame(batch([t or "" for t in texts]), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            out = pd.DataFrame(batch([t or "" for t in texts]), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            del texts
+            yield out
+        give_back()
 
     name = "_digest"
     return docs.select(F.col(doc_id), digest(F.col(text)).alias(name)).select(doc_id, f"{name}.*")

@@ -31,6 +31,18 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
 
 
+def give_back() -> None:
+    """Returns a worker's free memory to the system: workers stay for a minute after a task, and so would what its texts took."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's only
+    if trim is not None:
+        trim(0)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, even where body's lambdas refer to it many times."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
