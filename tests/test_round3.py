@@ -28,3 +28,9 @@ def test_addresses_from_100_minutes_on(spark, tmp_path):
     ids = F.col("id") * 44_987
     spark.range(150).select(ids.alias("event_id")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     same(spark, tmp_path, "cd_prefix")
+
+
+def test_plain_regions_of_every_image(spark, tmp_path):
+    ids = F.col("id") * 37
+    spark.range(3000).select(ids.alias("event_id"), (F.col("id") % 1000).alias("user_id")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    same(spark, tmp_path, "plain_sectors")

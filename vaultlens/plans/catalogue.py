@@ -395,7 +395,7 @@ def partition_lookup(spark, sf_dir):
 @registered("SELECT user_id AS inode_id, event_id AS at, user_id % 10 = 3 AND event_id BETWEEN 100 AND 5000 AS plain FROM events")
 def plain_sectors(spark, sf_dir):
     events = model.read(spark, sf_dir, "events")
-    spans = spark.range(15).select((F.col("id") * 10 + 3).alias("inode_id"), F.lit(100).cast("long").alias("start_sector"), F.lit(5000).cast("long").alias("end_sector"))
+    spans = events.where("user_id % 10 = 3").select(F.col("user_id").alias("inode_id"), F.lit(100).cast("long").alias("start_sector"), F.lit(5000).cast("long").alias("end_sector")).distinct()
     return intervals.inside_any(events.select(F.col("user_id").alias("inode_id"), F.col("event_id").alias("at")), spans)
 
 
