@@ -34,3 +34,19 @@ def test_plain_regions_of_every_image(spark, tmp_path):
     ids = F.col("id") * 37
     spark.range(3000).select(ids.alias("event_id"), (F.col("id") % 1000).alias("user_id")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     same(spark, tmp_path, "plain_sectors")
+
+
+def test_any_number_of_plain_regions(spark):
+    """inside_any's bound picks a broadcast or a shuffle; every region counts either way."""
+    points = spark.range(300).select((F.col("id") % 7).alias("inode_id"), F.col("id").alias("at"))
+    spans = spark.range(60).select((F.col("id") % 5).alias("inode_id"), (F.col("id") * 5).alias("start_sector"), (F.col("id") * 5 + F.col("id") % 3).alias("end_sector"))
+    want = {(k % 7, k): any(s % 5 == k % 7 and s * 5 <= k <= s * 5 + s % 3 for s in range(60)) for k in range(300)}
+    for most in (0, 59, 10_000):
+        got = intervals.inside_any(points, spans, most).collect()
+        assert {(r.inode_id, r.at): r.plain for r in got} == want and len(got) == 300
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_stream_of_a_folder_of_files(spark, sf, tmp_path, files):
+    spark.read.parquet(f"{sf}/documents.parquet").repartition(files).write.parquet(str(tmp_path / "documents.parquet"))
+    same(spark, tmp_path, "stream_ingest")

@@ -617,7 +617,7 @@ def stream_ingest(spark, sf_dir):
     from vaultlens.streaming import ingest
 
     base = f"{shared_dir(spark).rstrip('/')}/ingest-{uuid4().hex}"
-    docs = spark.readStream.schema(model.read(spark, sf_dir, "documents").schema).option("pathGlobFilter", "documents.parquet*").parquet(sf_dir)
+    docs = spark.readStream.schema(model.read(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parque[t]")  # a pattern, since a stream takes no path of a single file; it matches a folder of files, too
     images = docs.select(F.col("doc_id").alias("inode_id"), F.when(F.col("lang") == "en", 64).otherwise(128).alias("sector_size"), F.col("text").alias("data"))
     ingest.ingest(images, f"{base}/out", f"{base}/state").awaitTermination()
     return ingest.stored(spark, f"{base}/out")[0].select("sector_size", "hash")
