@@ -50,3 +50,28 @@ def test_any_number_of_plain_regions(spark):
 def test_stream_of_a_folder_of_files(spark, sf, tmp_path, files):
     spark.read.parquet(f"{sf}/documents.parquet").repartition(files).write.parquet(str(tmp_path / "documents.parquet"))
     same(spark, tmp_path, "stream_ingest")
+
+
+@pytest.mark.parametrize("name", ["islands", "frag_pct", "merge_adjacent"])
+def test_neighbours_are_sorted_in_a_fixed_number_of_parts(spark, sf, name):
+    """No grouping before the one sort, and parts that adaptive execution doesn't join."""
+    plan = Q[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "HashAggregate(keys=[inode_id" not in plan.split("REPARTITION_BY_NUM")[-1]
+
+
+def test_runs_with_repeats(spark):
+    rows = [(i, (k * 7) % 40, (k * 7) % 40 // 6) for i in range(3) for k in range(25)]
+    df = spark.createDataFrame(rows * 3, "inode_id long, offset long, seed long")
+    want = set()
+    for i in range(3):
+        run = None
+        for _, o, s in sorted({r for r in rows if r[0] == i}):
+            if run and run[2] == o and run[3] == s:
+                run = (i, run[1], o + 1, s)
+            else:
+                want |= {run} if run else set()
+                run = (i, o, o + 1, s)
+        want.add(run)
+    for width in (1, 2, 5, 1000):
+        got = intervals.merge_adjacent(df.withColumn("length", F.lit(1).cast("long")), ["seed"], width, once=True).collect()
+        assert sorted((r.inode_id, r.offset, r.offset + r.length, r.seed) for r in got) == sorted(want)

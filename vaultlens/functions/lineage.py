@@ -40,3 +40,8 @@ def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
     # One row a partition, so this window is small however many rows there are.
     before = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     return kept.join(F.broadcast(before), "_part").withColumn(name, F.col("_base") + F.col("_row")).drop("_part", "_row", "_base")
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df in as many parts by its keys as spark.sql.shuffle.partitions says. Adaptive execution, left to choose, would join parts until there is one a core, however much that one holds."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -411,8 +411,8 @@ def overlap(spark, sf_dir):
 m AS (SELECT *, sum(CASE WHEN lag_o = o - 1 AND lag_s = seed THEN 0 ELSE 1 END) OVER (PARTITION BY inode_id ORDER BY o) AS g FROM (SELECT *, lag(o) OVER w AS lag_o, lag(seed) OVER w AS lag_s FROM e WINDOW w AS (PARTITION BY inode_id ORDER BY o)))
 SELECT inode_id, seed, min(o)::BIGINT AS "offset", count(*) AS length FROM m GROUP BY inode_id, seed, g""")
 def merge_adjacent(spark, sf_dir):
-    li = model.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("inode_id"), F.col("l_linenumber").cast("long").alias("offset"), F.floor(F.col("l_linenumber") / 4).cast("int").alias("seed")).distinct()
-    return intervals.merge_adjacent(li.withColumn("length", F.lit(1).cast("long")), ["seed"])
+    li = model.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("inode_id"), F.col("l_linenumber").cast("long").alias("offset"), F.floor(F.col("l_linenumber") / 4).cast("int").alias("seed"))
+    return intervals.merge_adjacent(li.withColumn("length", F.lit(1).cast("long")), ["seed"], once=True)
 
 
 @registered("""WITH e AS (SELECT DISTINCT l_suppkey AS inode_id, l_partkey AS lba FROM lineitem)
