@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from vaultlens.functions import digests
-from vaultlens.functions.lineage import numbered
+from vaultlens.functions.lineage import cut, numbered
 from vaultlens.operators import intervals
 
 BLOCK_BYTES = 4 * 1024 * 1024
@@ -213,7 +213,8 @@ def cd_split(raw: DataFrame) -> DataFrame:
     made = cd_prefix(F.col("sector"), F.when(F.col("mode") == 1, 1).otherwise(2))
     generated = F.coalesce(prefix == made, F.lit(False))
     # A suffix is computed from the whole sector, its own prefix included.
-    again = F.when(F.col("mode") == 1, suffix_is_regenerable(d)).when(F.col("mode") == 3, form1_suffix_is_regenerable(d)).otherwise(F.lit(False))
+    # A function in Python sees every row, whatever condition stands around it, so rows of other modes are given as nulls.
+    again = F.coalesce(suffix_is_regenerable(F.when(F.col("mode") == 1, d)), form1_suffix_is_regenerable(F.when(F.col("mode") == 3, d)))
     raw = raw.withColumn("_again", F.coalesce(again, F.lit(False)))
     return raw.select(
         "inode_id", "sector", "mode",
@@ -239,17 +240,37 @@ def cd_rebuilt(cd_map: DataFrame, data: DataFrame, prefixes: DataFrame, suffixes
     from vaultlens.functions.scalar import cd_prefix
 
     zeros = F.unhex(F.repeat(F.lit("00"), RAW))
-    rows = cd_map.join(data.select(F.col("hash").alias("user_data_hash"), F.col("data").alias("u")), "user_data_hash", "left")
-    rows = rows.join(prefixes.select(F.col("hash").alias("prefix_hash"), F.col("data").alias("p")), "prefix_hash", "left")
-    rows = rows.join(suffixes.select(F.col("hash").alias("suffix_hash"), F.col("data").alias("s")), "suffix_hash", "left")
+    places = last.select("inode_id", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("sectors") - 1).cast("long"))).alias("sector"))
+    known = cd_map.select("inode_id", "sector", "mode", "subheader", "generated_prefix", "generated_suffix", "user_data_hash", "prefix_hash", "suffix_hash")
+    # The map is joined without contents. It is never broadcast: Spark would judge its size by the files it comes from.
+    rows = places.join(known.hint("merge"), ["inode_id", "sector"], "left")
+    for part, entries in (("user_data", data), ("prefix", prefixes), ("suffix", suffixes)):
+        rows = _with_contents(rows, part, entries)
     none = F.lit("").cast("binary")
-    head = F.when(F.col("generated_prefix"), cd_prefix(F.col("sector"), F.when(F.col("mode") == 1, 1).otherwise(2))).otherwise(F.coalesce("p", none))
-    rows = rows.withColumn("_head", F.concat(head, F.coalesce("subheader", none), F.col("u")))
+    head = F.when(F.col("generated_prefix"), cd_prefix(F.col("sector"), F.when(F.col("mode") == 1, 1).otherwise(2))).otherwise(F.coalesce("_prefix", none))
+    rows = rows.withColumn("_head", F.concat(head, F.coalesce("subheader", none), F.col("_user_data")))
     again = F.col("generated_suffix")
-    tail = F.when(again & (F.col("mode") == 1), mode1_suffix(F.when(again & (F.col("mode") == 1), F.col("_head")))).when(again, form1_suffix(F.when(again & (F.col("mode") == 3), F.col("_head")))).otherwise(F.coalesce("s", none))
-    raw = F.concat(F.col("_head"), tail)
-    places = last.select("inode_id", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("sectors") - 1).cast("long"))).alias("sector"))
-    return places.join(rows.select("inode_id", "sector", raw.alias("raw")), ["inode_id", "sector"], "left").select("inode_id", "sector", F.coalesce("raw", zeros).alias("data"))
+    tail = F.when(again & (F.col("mode") == 1), mode1_suffix(F.when(again & (F.col("mode") == 1), F.col("_head")))).when(again, form1_suffix(F.when(again & (F.col("mode") == 3), F.col("_head")))).otherwise(F.coalesce("_suffix", none))
+    return rows.select("inode_id", "sector", F.coalesce(F.concat(F.col("_head"), tail), zeros).alias("data"))
+
+
+#: Bytes of a dictionary of parts up to which it is broadcast.
+BROADCAST_BYTES = 8 << 20
+
+
+def _with_contents(rows: DataFrame, part: str, entries: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """rows with the contents that a dictionary (hash, data) has for a part's hash, null where it has none.
+
+    Entries are stored and measured first. A larger dictionary is sorted and merged; there rows without a hash, which match nothing,
+    are dealt out by a key of their own, lest they all meet in one task.
+    """
+    kept = cut(entries.select("hash", "data"))
+    small = kept.agg(F.coalesce(F.sum(F.octet_length("data") + 64), F.lit(0))).first()[0] <= most
+    kept = kept.select(F.col("hash").alias("_hash"), F.col("data").alias(f"_{part}"))
+    hash_ = F.col(f"{part}_hash")
+    own = F.concat_ws("/", F.lit("none"), "inode_id", "sector")
+    on = (hash_ if small else F.coalesce(hash_, own)) == F.col("_hash")
+    return rows.join(F.broadcast(kept) if small else kept.hint("merge"), on, "left").drop("_hash")
 
 
 def subchannel_rebuilt(cd_map: DataFrame, subchannels: DataFrame, parents: DataFrame) -> DataFrame:
