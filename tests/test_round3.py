@@ -1,11 +1,14 @@
 """Larger tables than the smallest: queries against their SQL, and the memory and broadcasts of their plans."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from vaultlens.operators import intervals
+from vaultlens.functions import digests
+from vaultlens.operators import intervals, sectors
+from vaultlens.plans import store
 
 Q, SQL = __spark_entry__.queries(), __spark_entry__.oracle_sql()
 
@@ -75,3 +78,32 @@ def test_runs_with_repeats(spark):
     for width in (1, 2, 5, 1000):
         got = intervals.merge_adjacent(df.withColumn("length", F.lit(1).cast("long")), ["seed"], width, once=True).collect()
         assert sorted((r.inode_id, r.offset, r.offset + r.length, r.seed) for r in got) == sorted(want)
+
+
+def test_sectors_put_together_are_not_broadcast(spark, sf):
+    plan = Q["cd_rebuild"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [inode_id" not in plan and "SortMergeJoin [inode_id" in plan
+
+
+def test_dictionaries_of_any_size(spark):
+    rows = spark.range(40).select(F.lit(1).alias("inode_id"), F.col("id").alias("sector"), F.when(F.col("id") % 3 > 0, (F.col("id") % 5).cast("string")).alias("suffix_hash"))
+    entries = spark.createDataFrame([(str(k), bytearray([k])) for k in range(4)], "hash string, data binary")
+    for most in (0, 1 << 20):
+        got = {r.sector: r._suffix for r in sectors._with_contents(rows, "suffix", entries, most).collect()}
+        assert got == {k: bytes([k % 5]) if k % 3 and k % 5 < 4 else None for k in range(40)}
+
+
+def test_sectors_are_made_in_bounded_parts(spark, tmp_path):
+    spark.range(50_000).select(F.col("id").alias("p_partkey"), F.lit("x").alias("p_name")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    assert store._cd(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+
+
+def test_parity_is_computed_where_the_code_agrees(monkeypatch):
+    heads = np.random.default_rng(5).integers(0, 256, (6, 2064), dtype=np.uint8)
+    whole = np.concatenate((heads, digests._suffix(heads, False)), axis=1)
+    whole[1:5, 2064] ^= 1
+    whole[5, 2351] ^= 1
+    seen = []
+    right = digests.ecc_of
+    monkeypatch.setattr(digests, "ecc_of", lambda x: seen.append(len(x)) or right(x))
+    assert digests._agree(whole, 2064, False).tolist() == [True] + [False] * 5 and seen == [2]

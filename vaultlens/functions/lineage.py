@@ -45,3 +45,8 @@ def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """df in as many parts by its keys as spark.sql.shuffle.partitions says. Adaptive execution, left to choose, would join parts until there is one a core, however much that one holds."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def spread(df: DataFrame, key: str, each: int) -> DataFrame:
+    """df in parts of about `each` rows, which are counted first: for rows from which far more is made than their files hold, so that a file's size says nothing about a task's work."""
+    return df.repartition(max(1, -(-df.count() // each)), key)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultlens.functions import digests, lagged, scalar
-from vaultlens.functions.lineage import shared_dir
+from vaultlens.functions.lineage import shared_dir, spread
 from vaultlens.operators import blocks, export, hierarchy, inodes, integrity, intervals, junk, metadata, sectors, tags
 from vaultlens.plans import planner, sqlgen
 from vaultlens.plans.catalogue import _HOUR, _REGIONS, _SECTORS, FLAGSHIP, PARTS, registered
@@ -342,14 +342,18 @@ def truncate_sectors(spark, sf_dir):
     return sectors.truncated(sectors.sector_map(sectors.sliced(model.images(spark, sf_dir))), 3, 4)
 
 
+#: Sectors that one task makes from its rows of a table, which holds far less than they do.
+_TASK_SECTORS = 20_000
+
 _CD = "c AS (SELECT p_partkey // 100 AS inode_id, p_partkey % 100 AS sector, p_partkey % 3 AS kind, md5(p_name) AS h FROM part)"
 
 
 def _cd(spark, sf_dir) -> DataFrame:
     """Raw mode 1 sectors: a third with computed suffixes, a third with others, a third whose prefix is spoiled too."""
-    part = model.read(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 100).alias("inode_id"), (F.col("p_partkey") % 100).alias("sector"), (F.col("p_partkey") % 3).alias("kind"), F.md5(F.col("p_name").cast("binary")).alias("h"))
+    part = spread(model.read(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", _TASK_SECTORS)
+    part = part.select(F.floor(F.col("p_partkey") / 100).alias("inode_id"), (F.col("p_partkey") % 100).alias("sector"), (F.col("p_partkey") % 3).alias("kind"), F.md5(F.col("p_name").cast("binary")).alias("h"))
     good = F.concat(scalar.cd_prefix(F.col("sector"), F.lit(1)), F.encode(F.repeat("h", F.lit(64)), "UTF-8"))
-    rows = part.withColumn("head", good).withColumn("tail", F.when(F.col("kind") == 0, digests.mode1_suffix(F.col("head"))).otherwise(F.encode(F.repeat(F.lit("t"), F.lit(288)), "UTF-8")))
+    rows = part.withColumn("head", good).withColumn("tail", F.when(F.col("kind") == 0, digests.mode1_suffix(F.when(F.col("kind") == 0, F.col("head")))).otherwise(F.encode(F.repeat(F.lit("t"), F.lit(288)), "UTF-8")))
     head = F.when(F.col("kind") == 2, F.concat(F.encode(F.lit("spoiled prefix.."), "UTF-8"), F.substring("head", F.lit(17), F.lit(2048)))).otherwise(F.col("head"))
     return rows.select("inode_id", "sector", F.lit(1).alias("mode"), F.concat(head, F.col("tail")).alias("data"), F.encode(F.concat(F.lit("sub"), (F.col("sector") % 7).cast("string")), "UTF-8").alias("subchannel"))
 
