@@ -107,3 +107,9 @@ def test_parity_is_computed_where_the_code_agrees(monkeypatch):
     right = digests.ecc_of
     monkeypatch.setattr(digests, "ecc_of", lambda x: seen.append(len(x)) or right(x))
     assert digests._agree(whole, 2064, False).tolist() == [True] + [False] * 5 and seen == [2]
+
+
+def test_new_sectors_are_found_in_a_fixed_number_of_parts(spark, sf):
+    df = Q["hash_verify"](spark, sf)
+    assert "BroadcastHashJoin [inode_id" not in (plan := df._jdf.queryExecution().executedPlan().toString())
+    assert plan.count("REPARTITION_BY_NUM") == 3

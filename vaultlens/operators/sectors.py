@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from vaultlens.functions import digests
-from vaultlens.functions.lineage import cut, numbered
+from vaultlens.functions.lineage import cut, dealt, numbered
 from vaultlens.operators import intervals
 
 BLOCK_BYTES = 4 * 1024 * 1024
@@ -43,10 +43,11 @@ def sector_map(sectors: DataFrame) -> DataFrame:
 def new_places(sectors: DataFrame, index: DataFrame) -> DataFrame:
     """sector_size, hash, first_inode, first_sector of the sectors that the index doesn't know, each once.
 
-    Known ones go before anything is grouped; groups hold numbers only, so they are combined in hash tables on both
-    sides of the shuffle. An object's first sector comes first, then the first object.
+    Known ones go before anything is grouped; groups hold numbers only, so they are combined in hash tables, in a fixed
+    number of parts. An object's first sector comes first, then the first object.
     """
     unknown = sector_map(sectors).join(index.select("sector_size", "hash"), ["sector_size", "hash"], "left_anti")
+    unknown = dealt(unknown, "hash", "sector_size")  # in the join's own order of keys it would be taken for the join's shuffle and dropped
     each = unknown.groupBy("sector_size", "hash", "inode_id").agg(F.min("sector").alias("sector"))
     return each.groupBy("sector_size", "hash").agg(F.min("inode_id").alias("first_inode"), F.min_by("sector", "inode_id").alias("first_sector"))
 
@@ -55,7 +56,8 @@ def new_sectors(sectors: DataFrame, index: DataFrame) -> DataFrame:
     """sector_size, hash, data, first_inode, first_sector of the sectors that the index doesn't know, each once; contents are fetched for those alone."""
     first = new_places(sectors, index)
     at = first.select("sector_size", "hash", "first_inode", "first_sector", F.col("first_inode").alias("inode_id"), F.col("first_sector").alias("sector"))
-    return at.join(sectors.select("inode_id", "sector", "data"), ["inode_id", "sector"]).select("sector_size", "hash", "data", "first_inode", "first_sector")
+    # Both sides are sorted in a fixed number of parts; places are never broadcast, since Spark would judge their size by the files they come from.
+    return dealt(at, "inode_id", "sector").join(dealt(sectors.select("inode_id", "sector", "data"), "inode_id", "sector").hint("merge"), ["inode_id", "sector"]).select("sector_size", "hash", "data", "first_inode", "first_sector")
 
 
 def placed(new: DataFrame, sector_size: int, start: int = 0) -> DataFrame:
