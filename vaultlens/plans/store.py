@@ -438,7 +438,9 @@ def junk_regions(spark, sf_dir):
 
 def _lagged_rows(spark, sf_dir) -> DataFrame:
     """Blocks of 64 sectors of 64 bytes, each block the stream of a seed of its own, but data in its first four sectors and where p_size is 50."""
-    part = model.read(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 1024).alias("inode_id"), (F.col("p_partkey") % 1024).alias("sector"), "p_size", F.lit(64).alias("sector_size"))
+    # A block's sectors stay together, so its stream is made once.
+    part = spread(model.read(spark, sf_dir, "part").select("p_partkey", "p_size", F.floor(F.col("p_partkey") / 64).alias("_piece")), "_piece", _TASK_SECTORS)
+    part = part.select(F.floor(F.col("p_partkey") / 1024).alias("inode_id"), (F.col("p_partkey") % 1024).alias("sector"), "p_size", F.lit(64).alias("sector_size"))
     block = F.concat_ws("/", "inode_id", F.floor(F.col("sector") / 64))
     seed = F.unhex(F.substring(F.concat(*[F.md5(F.concat(block, F.lit(f"/{k}"))) for k in range(5)]), 1, 136))
     made = junk._made(part.withColumn("at", F.col("sector") * 64).withColumn("seed", seed), lagged.repeating(4096))
